@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup
+from . import chat_format, exact_dedup, packing, sstable
 
 
 def queries() -> dict:
     return {
         "op2_chat_format": chat_format.op2_chat_format,
+        "op3_packing": packing.op3_packing,
+        "op7_sorted_shards": sstable.op7_sorted_shards,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
