@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, packing, sstable
+from . import chat_format, exact_dedup, packing, quality, sstable, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_chat_format": chat_format.op2_chat_format,
         "op3_packing": packing.op3_packing,
+        "op4_compression_bands": quality.op4_compression_bands,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_sorted_shards": sstable.op7_sorted_shards,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
