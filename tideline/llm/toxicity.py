@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import table
 from .tokens import text_chunks
@@ -179,7 +180,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     docs = docs.drop("score", "predicted")
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((model.index, model.weight, model.bias, model.bits))
-    schema = docs.schema.add("score", "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
 
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, weight, bias, bits = sent.value
