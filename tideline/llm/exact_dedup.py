@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .shared import new_path, table, whole_text
+from .shared import new_path, stored, table, whole_text
 
 #: Deleted before texts are compared.
 WHITESPACE = " \t\n\x0b\f\r"
@@ -61,64 +61,65 @@ class DigestIndex:
         return number
 
 
-def _ranked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The rows with their digest, size and id, and one row a digest: whose row stays, how many share it."""
-    rows = docs.select(
-        "*",
-        normal_digest(whole_text(text_col)).alias("text_sha256"),
-        F.length(whole_text(text_col)).cast("bigint").alias("__n"),
-        F.col(id_col).cast("bigint").alias("__id"),
-    )
-    # Counted and ranked before the shuffle: a text that holds a third of all rows is one row a task here.
-    rank = F.struct((-F.col("__n")).alias("n"), F.col("__id").isNull().alias("z"), F.col("__id").alias("id"))
-    groups = rows.groupBy("text_sha256").agg(F.min(rank).alias("best"), F.count("*").alias("group_size"))
-    return rows, groups.select("text_sha256", F.col("best.id").alias("keep_id"), (-F.col("best.n")).alias("n_chars"), "group_size")
+def _key_columns(doc_id: Column, text: Column) -> list[Column]:
+    return [normal_digest(text).alias("text_sha256"), F.length(text).cast("bigint").alias("n_chars"), doc_id.cast("bigint").alias("doc_id")]
+
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """What is compared of each row: digest, id and size."""
+    return docs.select(*_key_columns(F.col(id_col), whole_text(text_col)))
 
-def _add(groups: DataFrame, index: DigestIndex) -> DataFrame:
-    """Puts the batch into the index; the index's entries, with whether this batch owns the text."""
-    number = index.add(groups.select(F.col("text_sha256").alias("digest"), "keep_id", "n_chars"))
-    return index.entries().select(F.col("digest").alias("text_sha256"), "keep_id", "n_chars", (F.col("batch") == number).alias("__new"))
+
+def _owned(keyed: DataFrame, index: DigestIndex) -> DataFrame:
+    """Puts the rows' digests into the index; for each of them whose row stays, its size, whether this batch owns it, and the rows that share it."""
+    # Counted and ranked before the shuffle: a text that holds a third of all rows is one row a task here.
+    rank = F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"))
+    groups = keyed.groupBy("text_sha256").agg(F.min(rank).alias("best"), F.count("*").alias("group_size"))
+    number = index.add(groups.select(F.col("text_sha256").alias("digest"), F.col("best.id").alias("keep_id"), (-F.col("best.n")).alias("n_chars")))
+    entries = index.entries().select(F.col("digest").alias("text_sha256"), "keep_id", F.col("n_chars").alias("keep_chars"), (F.col("batch") == number).alias("new"))
+    return groups.select("text_sha256", "group_size").join(entries, "text_sha256")
 
 
-def _winners(rows: DataFrame, owners: DataFrame, how: str) -> DataFrame:
+def _winners(rows: DataFrame, owned: DataFrame, how: str) -> DataFrame:
+    """``rows`` with won: one row of each text that this batch owns."""
     # Joined on id and size too, so that the rows of a group of copies go to many tasks.
-    keys = ["text_sha256", "__id", "__n"]
-    new = owners.where("__new").select("text_sha256", F.col("keep_id").alias("o_id"), F.col("n_chars").alias("o_n"), F.lit(True).alias("__won"))
-    on = (rows.text_sha256 == new.text_sha256) & rows["__id"].eqNullSafe(new.o_id) & (rows["__n"] == new.o_n)
-    out = rows.join(new, on, how).drop(new.text_sha256)
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1))) == 1
-    return out.withColumn("kept", F.coalesce(F.col("__won"), F.lit(False)) & first)
+    new = owned.where("new").select(F.col("text_sha256").alias("o_digest"), F.col("keep_id").alias("o_id"), F.col("keep_chars").alias("o_n"))
+    on = (rows["text_sha256"] == new["o_digest"]) & rows["doc_id"].eqNullSafe(new["o_id"]) & (rows["n_chars"] == new["o_n"])
+    first = F.row_number().over(Window.partitionBy("text_sha256", "doc_id", "n_chars").orderBy(F.lit(1))) == 1
+    return rows.join(new, on, how).withColumn("won", F.col("o_digest").isNotNull() & first).drop("o_digest", "o_id", "o_n")
 
 
 def dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of ``docs`` with keep_id, group_size, kept and text_sha256 (columns of these names are replaced).
+    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after white space is deleted; a null text is an empty one, and
     empty texts are equal to each other. Of equal texts in a batch the one with the most code
     points stays, then the smallest id (null ids last); of rows that repeat id and text exactly
     one. A row whose text the index already had is not kept, and keep_id is that of the earlier
     batch. group_size counts the rows of this batch that share the text. An empty table gives no
-    rows; further columns pass through.
+    rows; further columns are left out.
     """
-    docs = docs.drop("keep_id", "group_size", "kept", "text_sha256")
-    rows, groups = _ranked(docs, id_col, text_col)
-    owners = _add(groups, index)
-    marked = _winners(rows, owners, "left").select(*docs.columns, "text_sha256", "kept")
-    facts = groups.select("text_sha256", "group_size").join(owners.select("text_sha256", "keep_id"), "text_sha256")
-    return marked.join(facts, "text_sha256").select(*docs.columns, "keep_id", "group_size", "kept", "text_sha256")
+    keyed, _ = stored(_keyed(docs, id_col, text_col), "digests")  # texts are read and hashed once
+    owned = _owned(keyed, index)
+    marked = _winners(keyed, owned, "left").select("doc_id", "text_sha256", F.col("won").alias("kept"))
+    return marked.join(owned, "text_sha256").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def survivors(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the rows that ``dedup`` marks as kept, with the columns of ``docs``."""
-    rows, groups = _ranked(docs, id_col, text_col)
-    return _winners(rows, _add(groups, index), "inner").where("kept").select(*docs.columns)
+    """Only the rows that ``dedup`` marks as kept, with all columns of ``docs``."""
+    names = [f"c{i}" for i in range(len(docs.columns))]  # own names: a column of docs may have any
+    keyed, _ = stored(_keyed(docs, id_col, text_col), "digests")
+    owned = _owned(keyed, index)
+    at = {c: names[i] for i, c in enumerate(docs.columns)}
+    rows = docs.toDF(*names)
+    rows = rows.select("*", *_key_columns(F.col(at[id_col]), F.coalesce(F.col(at[text_col]), F.lit(""))))
+    return _winners(rows, owned, "inner").where("won").select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     index = DigestIndex(spark, new_path(spark, "digest-index"), 32)
-    return dedup(docs, index).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return dedup(docs, index)
 
 
 OP10_SQL = """
