@@ -26,8 +26,10 @@ _PATTERNS = {
     "byte": f"{_CONTRACTIONS}| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+",
     "word": f"{_CONTRACTIONS}|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+",
 }
-#: Words that a worker remembers before it starts anew, and characters encoded at once.
-CACHE_WORDS, CHUNK_CHARS = 300_000, 1_500_000
+#: Words that a worker remembers; when there are more, those of up to SHORT characters stay, as longer ones seldom come again.
+CACHE_WORDS, SHORT = 400_000, 9
+#: Characters split at once, and new words put into one text for the library.
+CHUNK_CHARS, JOINED_WORDS = 1_500_000, 500
 
 
 class WordEncoder:
@@ -74,12 +76,17 @@ class WordEncoder:
             own = [w for w in own if not w.isspace()]
         if not own:
             return
-        # A line feed, or the end of a word, keeps the words apart in one long text.
-        ids = np.array(self.library.encode(("\n" if self.kind == "byte" else " ").join(own), add_special_tokens=False).ids, "<u4")
+        # A line feed, or the end of a word, keeps the words apart in texts of a few hundred words, which the library takes faster than one long text or single words.
+        joint = "\n" if self.kind == "byte" else " "
+        texts = [joint.join(own[i : i + JOINED_WORDS]) for i in range(0, len(own), JOINED_WORDS)]
+        found = [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         if self.kind == "byte":
-            stops = np.append(np.flatnonzero(ids == self.newline), len(ids))
+            line = np.array([self.newline], "<u4")
+            ids = np.concatenate([x for part in found for x in (part, line)])
+            stops = np.flatnonzero(ids == self.newline)
             starts = np.append(0, stops[:-1] + 1)
         else:
+            ids = np.concatenate(found)
             stops = np.flatnonzero(self.ends[ids]) + 1
             starts = np.append(0, stops[:-1])
         if len(stops) != len(own):
@@ -87,16 +94,27 @@ class WordEncoder:
         raw = ids.tobytes()
         self.cache.update(zip(own, (raw[a:b] for a, b in zip((starts * 4).tolist(), (stops * 4).tolist(), strict=True)), strict=True))
 
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        if len(self.cache) > CACHE_WORDS:
+    def forget(self) -> None:
+        """Makes room in the cache."""
+        self.cache = {w: v for w, v in self.cache.items() if len(w) <= SHORT}
+        if len(self.cache) > CACHE_WORDS // 2:
             self.cache.clear()
+
+    def prepare(self, texts: Sequence[str]) -> list[list[str] | None]:
+        """Each text's words, None for texts that the library splits; all words are in the cache then."""
+        if len(self.cache) > CACHE_WORDS:
+            self.forget()
         words = [self.split(t) for t in texts]
         new: set[str] = set()
         for w in words:
             if w is not None:
                 new.update(set(w).difference(self.cache))
         self.learn(new)
+        return words
+
+    def encode(self, texts: Sequence[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        words = self.prepare(texts)
         get = self.cache.__getitem__
         return [self.whole(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, words, strict=True)]
 
