@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, packing, quality, sstable, toxicity
+from . import bpe_trie, chat_format, exact_dedup, license_scan, packing, quality, sstable, toxicity
 
 
 def queries() -> dict:
@@ -10,8 +10,10 @@ def queries() -> dict:
         "op2_chat_format": chat_format.op2_chat_format,
         "op3_packing": packing.op3_packing,
         "op4_compression_bands": quality.op4_compression_bands,
+        "op5_license_scan": license_scan.op5_license_scan,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_sorted_shards": sstable.op7_sorted_shards,
+        "op8_bpe_trie": bpe_trie.op8_bpe_trie,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
