@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe_trie, chat_format, exact_dedup, license_scan, packing, quality, sstable, toxicity
+from . import bpe_trie, chat_format, exact_dedup, license_scan, minhash, packing, quality, sstable, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_near_duplicates": minhash.op1_near_duplicates,
         "op2_chat_format": chat_format.op2_chat_format,
         "op3_packing": packing.op3_packing,
         "op4_compression_bands": quality.op4_compression_bands,
