@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_trie, chat_format, exact_dedup, license_scan, minhash, packing, quality, sstable, toxicity
+from . import bpe_trie, chat_format, exact_dedup, license_scan, minhash, packing, quality, sstable, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_sorted_shards": sstable.op7_sorted_shards,
         "op8_bpe_trie": bpe_trie.op8_bpe_trie,
+        "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
