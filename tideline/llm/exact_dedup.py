@@ -25,10 +25,15 @@ def normal_digest(text: Column) -> Column:
     return F.sha2(F.translate(text, WHITESPACE, ""), 256)
 
 
+def buckets(spark: SparkSession) -> int:
+    """Buckets for a new index: one for each shuffle partition of the session, as a batch is joined with the index bucket by bucket."""
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 class DigestIndex:
     """Digests seen so far, kept at ``path`` in ``buckets`` buckets sorted by digest.
 
-    Opening the same path in a later session finds the earlier digests. The first batch that
+    Opening the same path with the same number of buckets in a later session finds the earlier digests. The first batch that
     brings a text owns it: within a batch the row with the most code points, then the smallest
     id stays; a row whose text an earlier batch brought is dropped in favour of that one.
     """
@@ -118,7 +123,7 @@ def survivors(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    index = DigestIndex(spark, new_path(spark, "digest-index"), 32)
+    index = DigestIndex(spark, new_path(spark, "digest-index"), buckets(spark))
     return dedup(docs, index)
 
 
