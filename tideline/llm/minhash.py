@@ -25,11 +25,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: 24 bands of 6 registers: a pair of similarity 0.8 shares a band with a probability of 0.9993, of 0.5 with 0.31.
 BANDS, BAND_ROWS = 24, 6
 REGISTERS = BANDS * BAND_ROWS
-#: In buckets that leaders do not settle, pairs whose signatures agree in fewer registers than this share are not verified;
-#: at similarity 0.8 that is 3.6 standard deviations off.
-LEAST_AGREEMENT = 0.68
-#: Rounds in which one member of each bucket is held against all others, and members that are compared at once after them.
-LEADER_ROUNDS, BLOCK = 2, 2048
+#: Rounds in which one member of each bucket is held against all others, and members that are held at once after them.
+LEADER_ROUNDS, BLOCK = 2, 1024
 
 _G1, _G2, _G3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
 
@@ -151,11 +148,11 @@ def numbered(digests: np.ndarray, docs: np.ndarray, counts: np.ndarray) -> tuple
         return mix(np.repeat(digests, counts) + nth.astype(np.uint64) * _G1), np.repeat(docs, counts)
 
 
-_SIGNED = "doc_id bigint, uid bigint, digest string, keys array<bigint>, registers array<int>, n_shingles bigint"
+_SIGNED = "doc_id bigint, uid bigint, digest string, keys array<bigint>, n_shingles bigint"
 
 
 def sign(units: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, uid, digest, text) with band keys, registers (32 bits of each) and the size of the bag in place of the text."""
+    """Rows (doc_id, uid, digest, text) with band keys and the size of the bag in place of the text."""
 
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,9 +160,8 @@ def sign(units: DataFrame, text_col: str = "text") -> DataFrame:
                 digests, docs, counts = bags(*shingle_digests(texts))
                 sizes = np.bincount(docs, weights=counts, minlength=len(texts)).astype(np.int64)
                 sig = signatures(digests, docs, counts, len(texts))
-                registers = (mix(sig.view(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                made = [_lists(band_keys(sig).view(np.int64), pa.int64()), _lists(registers, pa.int32()), pa.array(sizes)]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), *made], names=["doc_id", "uid", "digest", "keys", "registers", "n_shingles"])
+                made = [_lists(band_keys(sig).view(np.int64), pa.int64()), pa.array(sizes)]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), *made], names=["doc_id", "uid", "digest", "keys", "n_shingles"])
 
     return units.select("doc_id", "uid", "digest", text_col).mapInArrow(partition, _SIGNED)
 
@@ -234,11 +230,11 @@ def leader_pairs(members: DataFrame, labels: DataFrame, first: bool) -> DataFram
     return pairs.select(F.least("a", "uid").alias("a"), F.greatest("a", "uid").alias("b")).distinct()
 
 
-def residual_pairs(members: DataFrame, labels: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket and two components whose signatures agree enough, each found in the first band that it shares.
+def residual_links(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between members of one bucket and two components; of several from a text to one component, one.
 
-    Members outside the component of the bucket's least uid are the queries; they meet all members in blocks, so no task
-    holds more than a block of each, however large the bucket.
+    Members outside the component of the bucket's least uid are the queries. They meet all members in blocks, so no task
+    holds more than a block of each, however large the bucket; whole bags are compared and only links leave the task.
     """
     own = members.join(labels, "uid")
     facts = own.groupBy("key").agg(F.min_by("comp", "uid").alias("main"), F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
@@ -247,49 +243,50 @@ def residual_pairs(members: DataFrame, labels: DataFrame, signed: DataFrame) ->
     rows = rows.join(outs, "key")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     place = lambda n: F.pmod(F.xxhash64("uid", "key"), blocks(n)).cast("int")
-    queries = rows.where("out").select("key", "uid", "comp", "out", F.lit(True).alias("query"), place("n_out").alias("i"), F.explode(F.sequence(F.lit(0), blocks("n") - 1)).alias("j"))
-    held = rows.select("key", "uid", "comp", "out", F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), blocks("n_out") - 1)).alias("i"), place("n").alias("j"))
-    units = queries.unionByName(held).join(signed.select("uid", "keys", "registers"), "uid")
+    queries = rows.where("out").select("key", "uid", "comp", F.lit(True).alias("query"), place("n_out").alias("i"), F.explode(F.sequence(F.lit(0), blocks("n") - 1)).alias("j"))
+    held = rows.select("key", "uid", "comp", F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), blocks("n_out") - 1)).alias("i"), place("n").alias("j"))
+    units = queries.unionByName(held).join(sets, "uid").select("key", "i", "j", "uid", "comp", "query", "bag")
     return units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare, "a bigint, b bigint").distinct()
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compares the units of sorted rows, one after another."""
     rest = None
     for batch in batches:
-        rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        new = pa.Table.from_batches([batch])
+        rows = new if rest is None else pa.concat_tables([rest, new])
         unit = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")])
-        starts = np.flatnonzero((unit[:, 1:] != unit[:, :-1]).any(axis=0)) + 1
-        done = int(starts[-1]) if len(starts) else 0
-        yield from _compared(rows.slice(0, done), np.append(0, starts))
-        rest = rows.slice(done)
+        starts = np.append(0, np.flatnonzero((unit[:, 1:] != unit[:, :-1]).any(axis=0)) + 1)
+        for begin, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            yield from _links(rows.slice(begin, end - begin))
+        rest = rows.slice(int(starts[-1]))
     if rest is not None:
-        yield from _compared(rest, np.array([0, len(rest)]))
-
-
-def _compared(rows: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Compares the units that the bounds part; the last bound is where the rows end."""
-    if not len(rows):
-        return
-    key, uid, comp = (rows.column(c).to_numpy() for c in ("key", "uid", "comp"))
-    out, query = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("out", "query"))
-    keys, registers = (rows.column(c).combine_chunks().flatten().to_numpy().reshape(len(rows), -1) for c in ("keys", "registers"))
-    found_a, found_b = [], []
-    for begin, end in zip(bounds[:-1], bounds[1:], strict=True):
-        at = np.arange(begin, end)
-        q, m = at[query[begin:end]], at[~query[begin:end]]
-        band = int(np.argmax(keys[begin] == key[begin]))
-        for k in range(0, len(q), 32):
-            own = q[k : k + 32]
-            cross = (comp[own][:, None] != comp[m]) & (~out[m] | (uid[own][:, None] < uid[m]))
-            i, j = np.nonzero(cross)
-            i, j = own[i], m[j]
-            near = (registers[i] == registers[j]).mean(axis=1) >= LEAST_AGREEMENT
-            i, j = i[near], j[near]
-            here = np.argmax(keys[i] == keys[j], axis=1) == band if len(i) else np.zeros(0, bool)
-            found_a.append(np.minimum(uid[i[here]], uid[j[here]]))
-            found_b.append(np.maximum(uid[i[here]], uid[j[here]]))
-    if found_a:
-        yield pa.RecordBatch.from_pydict({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
+        yield from _links(rest)
+
+
+def _links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    uid, comp, query = rows.column("uid").to_numpy(), rows.column("comp").to_numpy(), rows.column("query").to_numpy(zero_copy_only=False)
+    lists = rows.column("bag").combine_chunks()
+    stops = lists.offsets.to_numpy().astype(np.int64)
+    flat, stops, sizes = lists.flatten().to_numpy(), stops - stops[0], np.diff(stops)
+    q, m = np.flatnonzero(query), np.flatnonzero(~query)
+    # Elements of the members in order, each with its owner: a query's overlap with all of them is counted in one pass.
+    elements = np.concatenate([flat[stops[i] : stops[i + 1]] for i in m]) if len(m) else flat[:0]
+    owner = np.repeat(np.arange(len(m)), sizes[m])
+    order = np.argsort(elements, kind="stable")
+    elements, owner = elements[order], owner[order]
+    found: list[tuple[int, int]] = []
+    for i in q:
+        bag = flat[stops[i] : stops[i + 1]]
+        low, high = np.searchsorted(elements, bag, "left"), np.searchsorted(elements, bag, "right")
+        n = high - low
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        shared = np.bincount(owner[at], minlength=len(m))
+        near = np.flatnonzero((shared >= SIMILARITY * (len(bag) + sizes[m] - shared)) & (comp[m] != comp[i]))
+        _, one = np.unique(comp[m[near]], return_index=True)
+        found += [(min(uid[i], x), max(uid[i], x)) for x in uid[m[near[one]]]]
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def text_digest(text: Column) -> Column:
@@ -311,7 +308,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = first.withColumn("node", node)
     nodes, _ = stored(rows.groupBy("node").agg(F.min("uid").alias("uid")), "nodes")
     signed = rows.where("n_shingles > 0").join(nodes.select("uid"), "uid")
-    signed, path2 = stored(signed.select("uid", "doc_id", "digest", "keys", "registers"), "units")
+    signed, path2 = stored(signed.select("uid", "doc_id", "digest", "keys"), "units")
     banded = signed.select("uid", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members, path3 = stored(banded.join(shared, "key").select("key", "uid"), "members")
@@ -323,8 +320,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels, label_path = stored(members.select("uid").distinct().withColumn("comp", F.col("uid")), "labels")
     edges = None
     for turn in range(LEADER_ROUNDS + 1):
-        pairs = residual_pairs(members, labels, signed) if turn == LEADER_ROUNDS else leader_pairs(members, labels, turn == 0)
-        found, _ = stored(verified(pairs, sets), "links")
+        found = residual_links(members, labels, sets) if turn == LEADER_ROUNDS else verified(leader_pairs(members, labels, turn == 0), sets)
+        found, _ = stored(found, "links")
         edges = found if edges is None else edges.unionByName(found)
         grown, new_path = components(edges, "near")
         joined = members.select("uid").distinct().join(grown, "uid", "left").select("uid", F.coalesce("comp", "uid").alias("comp"))
