@@ -10,7 +10,7 @@ def target_indices(origins: DataFrame, horizon: int) -> DataFrame:
     """Rows (…, horizon_step, target_index) for steps 1 to ``horizon``. [W1]"""
     if horizon < 1:
         raise ValueError("horizon must be at least 1")
-    steps = origins.withColumn("horizon_step", F.explode(F.sequence(F.lit(1), F.lit(horizon))).cast("bigint"))
+    steps = origins.withColumn("horizon_step", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(horizon).cast("bigint"))))
     return steps.withColumn("target_index", F.col("origin_index") + F.col("horizon_step") - 1)
 
 

@@ -29,7 +29,7 @@ def events(spark: SparkSession) -> DataFrame:
 def read_panel(spark: SparkSession, path: str, made_by: str, series: list[str] | None = None) -> DataFrame:
     """A stored panel, whole or some of its series; names the step that makes the file if it is absent, and wanted series that are not in it. [SC1 SC2 SC3 SC4]"""
     try:
-        panel = spark.read.schema(PANEL).parquet(path)
+        panel = spark.read.schema(PANEL).parquet(path).select("series", "date", "value", "observed", "idx")
     except AnalysisException as e:
         raise FileNotFoundError(f"{path} is absent; {made_by} makes it") from e
     if series is None:

@@ -25,7 +25,8 @@ def field_fractions(rows: DataFrame, keys: list[str], field: str = "field_used")
     """Share of each field among the rows of a group that used one; groups without any give no rows. [SK7]"""
     counts = rows.where(F.col(field).isNotNull()).groupBy(*keys, field).agg(F.count("*").alias("n"))
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
-    return counts.join(totals, keys).select(*keys, field, "n", (F.col("n") / F.col("total")).alias("fraction"))
+    both = counts.join(totals, keys) if keys else counts.crossJoin(totals)  # without keys there is one total
+    return both.select(*keys, field, "n", (F.col("n") / F.col("total")).alias("fraction"))
 
 
 def resolve_duplicates(rows: DataFrame, keys: list[str], subtype: str, value: str, conflicts: str = "raise") -> DataFrame:
