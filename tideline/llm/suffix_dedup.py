@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -325,8 +325,8 @@ def _passages(least: int):
     return partition
 
 
-def _cutter(text_at: int, spans_at: int):
-    """Adds kept (bytes), removed (array of from, to) to rows with a text and a list of (from, to), not merged."""
+def _cutter(text_at: int, spans_at: int, as_text: bool):
+    """Adds kept, removed (array of from, to) to rows with a text and a list of (from, to), not merged."""
 
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -346,19 +346,21 @@ def _cutter(text_at: int, spans_at: int):
                         out.append(data[at:f])
                         at = t
                     out.append(data[at:])
-                    kept.append(b"".join(out))
+                    kept.append(b"".join(out).decode("utf-8", "ignore") if as_text else b"".join(out))
                     removed.append([{"f": f, "t": t} for f, t in runs])
                 columns = [c for i, c in enumerate(part.columns) if i not in (text_at, spans_at)]
                 names = [x for i, x in enumerate(part.schema.names) if i not in (text_at, spans_at)]
                 kind = pa.list_(pa.struct([("f", pa.int32()), ("t", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.binary()), pa.array(removed, kind)], names=[*names, "kept", "removed"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(removed, kind)], names=[*names, "kept", "removed"])
 
     return partition
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", least: int = LEAST, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, text_col: str = "text", least: int = LEAST, gram: int = GRAM, hot: int = HOT, as_text: bool = False) -> DataFrame:
     """``docs`` with kept (binary) and removed (array of (f, t), bytes from f to before t, maximal runs) in place of the text.
 
+    With ``as_text`` kept is a string; bytes of characters that a cut has split are left out of it.
+
     Every byte is removed that lies in a string of ``least`` bytes (of the text as UTF-8) that begins anywhere else too, in the same text
     or another; strings do not cross texts and are judged on the input. Overlapping occurrences count. A null text is empty; texts shorter
     than ``least`` stay whole; of equal texts nothing is left that is long enough. Repeated rows count as texts of their own. An empty
@@ -372,8 +374,10 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", least: int = LEAST,
     # Rows are named by all of their content, so that only equal rows share a name.
     keyed = plain.select(*row_keys(*(F.col(n) for n in names)), "*")
     found, path1 = stored(keyed.select("k1", "k2", text).mapInArrow(_find(least, gram), _ANCHOR), "anchors")
-    often = found.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    # Written first: a join of two plain exchanges can be split where one digest has very many rows.
+    often, path0 = stored(found.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "often")
     repeated, path2 = stored(found.join(often, "digest"), "repeated")
+    drop_path(spark, path0)
     drop_path(spark, path1)
     one = F.min(F.struct("k1", "k2", "place", "first", "last")).alias("one")
     contexts = repeated.groupBy("digest", "context").agg(F.count("*").alias("copies"), one)
@@ -401,8 +405,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", least: int = LEAST,
     drop_path(spark, path4)
     rows = keyed.join(spans, ["k1", "k2"], "left").select(*names, "spans")
     others = [n for n in names if n != text]
-    schema = T.StructType([*(plain.schema[n] for n in others), T.StructField("kept", T.BinaryType()), *_REMOVED.fields])
-    cut = rows.mapInArrow(_cutter(names.index(text), len(names)), schema)
+    schema = T.StructType([*(plain.schema[n] for n in others), T.StructField("kept", T.StringType() if as_text else T.BinaryType()), *_REMOVED.fields])
+    cut = rows.mapInArrow(_cutter(names.index(text), len(names), as_text), schema)
     back = dict(zip(names, docs.columns, strict=True))
     return cut.select(*(F.col(n).alias(back[n]) for n in others), "kept", "removed")
 
@@ -410,11 +414,6 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", least: int = LEAST,
 _REMOVED = T.StructType([T.StructField("removed", T.ArrayType(T.StructType([T.StructField("f", T.IntegerType()), T.StructField("t", T.IntegerType())])))])
 
 
-def kept_text(kept: Column) -> Column:
-    """The bytes that stay as a text; bytes of characters that a cut has split are left out."""
-    return F.replace(F.decode(kept, "UTF-8"), F.lit("\ufffd"), F.lit(""))
-
-
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, r: n + r["t"] - r["f"])
