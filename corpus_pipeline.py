@@ -31,7 +31,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that stand anywhere else too."""
-    cut = suffix_dedup.remove_repeats(docs).withColumn("text", suffix_dedup.kept_text(F.col("kept")))
+    cut = suffix_dedup.remove_repeats(docs, as_text=True).withColumnRenamed("kept", "text")
     return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
