@@ -7,7 +7,7 @@ so what words share at their beginning is worked out once, and a word's ids are
 
 from __future__ import annotations
 
-import hashlib
+import gc
 import json
 import re
 from collections import defaultdict
@@ -22,6 +22,10 @@ from .shared import table
 from .tokens import WordEncoder, text_chunks, vocabulary
 
 WORD_END = "</w>"
+#: Longer words are walked alone, without nodes of their own.
+LONG_WORD = 256
+#: Words of texts that the library splits are remembered up to this number.
+MOST_PIECES = 100_000
 
 
 def byte_characters() -> dict[int, str]:
@@ -108,16 +112,25 @@ class TrieEncoder(WordEncoder):
         for t, i in [*self.inner.items(), *self.final.items()]:
             self.width[i] = len(t)
         self.id_bytes = [i.to_bytes(4, "little") for i in range(self.vocab_size)]
-        self.decoded: dict[str, str] = {}  # of each word in the cache
         self.pieces: dict[str, tuple[bytes, str]] = {}  # of words that the library split, already as byte characters
 
     @staticmethod
-    def _sizes(tokens: dict[str, int]) -> dict[str, list[int]]:
-        """Sizes of the tokens that end in the same one or two characters, the largest first."""
+    def _sizes(tokens: dict[str, int]) -> dict[str, tuple[int, ...]]:
+        """By the last three characters (fewer at a word's start), the sizes of tokens that may end there, the largest first."""
         found: dict[str, set[int]] = defaultdict(set)
         for t in tokens:
-            found[t[-2:]].add(len(t))
-        return {k: sorted(v | ({1} if k[-1] in tokens else set()), reverse=True) for k, v in found.items()}
+            found[t[-3:]].add(len(t))
+        out = {}
+        for tail, own in found.items():
+            shorter = {n for n in (1, 2) if n < len(tail) and tail[-n:] in tokens}
+            out[tail] = tuple(sorted(own | shorter, reverse=True))
+        return out
+
+    @staticmethod
+    def _short(tokens: dict[str, int], sizes: dict[str, tuple[int, ...]], tail: str) -> tuple[int, ...]:
+        """Sizes for a tail that no longer token ends in; kept for the next time."""
+        found = sizes[tail] = tuple(n for n in (3, 2, 1) if n <= len(tail) and tail[-n:] in tokens)
+        return found
 
     def as_chars(self, word: str) -> str:
         if word.isascii() and word.isprintable():
@@ -126,9 +139,26 @@ class TrieEncoder(WordEncoder):
 
     def walk(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of words given as byte characters."""
+        # A trie has no cycles: its nodes go when the walk ends, and the collector would only trace them again and again.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._walk(words)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _walk(self, words: Iterable[str]) -> dict[str, list[int]]:
         root: dict = {}
+        out: dict[str, list[int]] = {}
         longest = 0
         for w in words:
+            if len(w) > LONG_WORD:
+                last = [-1] * len(w)
+                for d in range(1, len(w)):
+                    last[d] = self.last_inner(w, d, last)
+                out[w] = self.read_back(w, last)
+                continue
             node = root
             for c in w[:-1]:
                 child = node.get(c)
@@ -138,36 +168,50 @@ class TrieEncoder(WordEncoder):
             node.setdefault(None, []).append(w)  # None cannot be a character
             longest = max(longest, len(w))
         last = [-1] * (longest + 1)  # of the prefixes on the way to the current node
-        out: dict[str, list[int]] = {}
-        stand, inner, final, inner_sizes, final_sizes, width = self.merges.stand, self.inner, self.final, self.inner_sizes, self.final_sizes, self.width
-        alone = [1]
         stack: list[tuple[str, dict, int]] = [("", root, 0)]
+        fit, inner, sizes = self._fit, self.inner, self.inner_sizes
         while stack:
             w, node, d = stack.pop()
             if d:
-                for n in inner_sizes.get(w[max(0, d - 2) : d], alone):
-                    if n <= d and (t := inner.get(w[d - n : d])) is not None and (n == d or stand(last[d - n], t)):
-                        last[d] = t
-                        break
+                last[d] = fit(w, d, last, inner, sizes)
             for c, child in node.items():
-                if c is not None:
+                if c is None:
+                    for w in child:
+                        out[w] = self.read_back(w, last)
+                else:
                     stack.append((*child, d + 1))
-                    continue
-                for w in child:
-                    at = d + 1
-                    for n in final_sizes.get(w[max(0, at - 2) :], alone):
-                        if n <= at and (t := final.get(w[at - n :])) is not None and (n == at or stand(last[at - n], t)):
-                            break
-                    ids = [t]
-                    at -= n
-                    while at:
-                        t = last[at]
-                        ids.append(t)
-                        at -= width[t]
-                    ids.reverse()
-                    out[w] = ids
         return out
 
+    def last_inner(self, w: str, d: int, last: list[int]) -> int:
+        """The last token of the first d characters of a word that goes on, given those of all shorter prefixes."""
+        return self._fit(w, d, last, self.inner, self.inner_sizes)
+
+    def _fit(self, w: str, d: int, last: list[int], tokens: dict[str, int], sizes: dict[str, tuple[int, ...]]) -> int:
+        tail = w[d - 3 if d > 3 else 0 : d]
+        known, size = self.merges.known, self.merges.size
+        for n in sizes.get(tail) or self._short(tokens, sizes, tail):
+            if n <= d and (t := tokens.get(w[d - n : d])) is not None:
+                if n == d:
+                    return t
+                before = last[d - n]
+                fits = known.get(before * size + t)
+                if fits or (fits is None and self.merges.stand(before, t)):
+                    return t
+        raise ValueError("the vocabulary lacks a byte")
+
+    def read_back(self, w: str, last: list[int]) -> list[int]:
+        """The ids of a whole word: its last token, which bears the word end, then the last token of what is before it, and so on."""
+        at, width = len(w), self.width
+        t = self._fit(w, at, last, self.final, self.final_sizes)
+        ids = [t]
+        at -= width[t]
+        while at:
+            t = last[at]
+            ids.append(t)
+            at -= width[t]
+        ids.reverse()
+        return ids
+
     def entry(self, ids: Sequence[int]) -> tuple[bytes, str]:
         id_bytes, tokens = self.id_bytes, self.tokens
         return b"".join([id_bytes[i] for i in ids]), " ".join([tokens[i] for i in ids])
@@ -177,15 +221,12 @@ class TrieEncoder(WordEncoder):
         chars = [self.as_chars(w) for w in own]
         found = self.walk(chars)
         for w, c in zip(own, chars, strict=True):
-            self.cache[w], self.decoded[w] = self.entry(found[c])
-
-    def forget(self) -> None:
-        super().forget()
-        self.decoded = {w: self.decoded[w] for w in self.cache}
-        self.pieces.clear()
+            self.cache[w] = self.entry(found[c])
 
     def parts(self, text: str) -> Iterator[tuple[bytes, str]]:
         """Ids and decoded text, word by word, of a text that the library splits."""
+        if len(self.pieces) > MOST_PIECES:
+            self.pieces.clear()
         for i, part in enumerate(self.special_at.split(text)):
             if i % 2:
                 yield self.id_bytes[self.special_ids[part]], part
@@ -197,14 +238,10 @@ class TrieEncoder(WordEncoder):
 
     def encode_decode(self, texts: Sequence[str]) -> Iterator[tuple[bytes, str]]:
         """Of each text, its ids (little-endian unsigned 32-bit) and the text that they decode to, tokens joined by spaces."""
-        prepared = self.prepare(texts)
-        get, text_of = self.cache.__getitem__, self.decoded.__getitem__
-        for text, words in zip(texts, prepared, strict=True):
-            if words is None:
-                found = list(self.parts(text))
-                yield b"".join(a for a, _ in found), " ".join(b for _, b in found)
-            else:
-                yield b"".join(map(get, words)), " ".join(map(text_of, words))
+        for text, found in zip(texts, self.found(texts), strict=True):
+            entries = list(self.parts(text)) if found is None else found
+            ids, decoded = zip(*entries, strict=True) if entries else ((), ())
+            yield b"".join(ids), " ".join(decoded)
 
     def decode(self, ids: Sequence[int]) -> str:
         """As the library's decode(ids, skip_special_tokens=False) does: this vocabulary has no decoder, so tokens are joined by spaces."""

@@ -46,8 +46,9 @@ class WordEncoder:
         self.kind = "word" if spec["normalizer"] else "byte"
         self.pattern = re.compile(_PATTERNS[self.kind])
         self.special = [t["content"] for t in spec["added_tokens"]]
+        self.special_start = os.path.commonprefix(self.special)  # most texts lack even that
         self.vocab_size = self.library.get_vocab_size()
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict = {}  # what is remembered of words
         if self.kind == "word":
             self.ends = np.zeros(self.vocab_size, bool)
             self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
@@ -62,17 +63,17 @@ class WordEncoder:
             except UnicodeEncodeError:
                 if _OTHER_CHARS.search(text):
                     return None
-        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text or any(s in text for s in self.special):
+        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text or (self.special_start in text and any(s in text for s in self.special)):
             return None
         return self.pattern.findall(text.lower() if self.kind == "word" else text)
 
     def learn(self, words: Iterable[str]) -> None:
         """Puts the ids of new words into the cache."""
-        own = list(words)
+        own, cache = list(words), self.cache
         if self.kind == "byte":
             alone = [w for w in own if w.isspace()]
             for w, e in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
+                cache[w] = np.array(e.ids, "<u4").tobytes()
             own = [w for w in own if not w.isspace()]
         if not own:
             return
@@ -92,31 +93,31 @@ class WordEncoder:
         if len(stops) != len(own):
             raise ValueError("the vocabulary does not keep words apart")
         raw = ids.tobytes()
-        self.cache.update(zip(own, (raw[a:b] for a, b in zip((starts * 4).tolist(), (stops * 4).tolist(), strict=True)), strict=True))
+        cache.update(zip(own, (raw[a:b] for a, b in zip((starts * 4).tolist(), (stops * 4).tolist(), strict=True)), strict=True))
 
-    def forget(self) -> None:
-        """Makes room in the cache."""
-        self.cache = {w: v for w, v in self.cache.items() if len(w) <= SHORT}
-        if len(self.cache) > CACHE_WORDS // 2:
-            self.cache.clear()
-
-    def prepare(self, texts: Sequence[str]) -> list[list[str] | None]:
-        """Each text's words, None for texts that the library splits; all words are in the cache then."""
+    def found(self, texts: Sequence[str]) -> list[list | None]:
+        """What is known of each text's words, in order; None for texts that the library splits."""
         if len(self.cache) > CACHE_WORDS:
-            self.forget()
+            self.cache = {w: v for w, v in self.cache.items() if len(w) <= SHORT}
+            if len(self.cache) > CACHE_WORDS // 2:
+                self.cache = {}
+        cache, get = self.cache, self.cache.get
         words = [self.split(t) for t in texts]
+        out: list[list | None] = [None if w is None else list(map(get, w)) for w in words]
+        # One lookup a word; only the places of unknown ones are visited again.
+        gaps = [[] if f is None else [k for k, v in enumerate(f) if v is None] for f in out]
         new: set[str] = set()
-        for w in words:
-            if w is not None:
-                new.update(set(w).difference(self.cache))
+        for w, ks in zip(words, gaps, strict=True):
+            new.update([w[k] for k in ks])
         self.learn(new)
-        return words
+        for w, f, ks in zip(words, out, gaps, strict=True):
+            for k in ks:
+                f[k] = cache[w[k]]
+        return out
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        words = self.prepare(texts)
-        get = self.cache.__getitem__
-        return [self.whole(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, words, strict=True)]
+        return [self.whole(t) if f is None else b"".join(f) for t, f in zip(texts, self.found(texts), strict=True)]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
