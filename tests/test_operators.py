@@ -14,7 +14,7 @@ from tideline.functions import special
 from tideline.operators import covariates, events, forecast, origins, panel, score, significance, slices
 from tideline.plans import grid
 from tideline.schema import LEVELS, PREDICTION_COLUMNS, QUANTILES
-from tideline.sources import manifest, panels, vendor
+from tideline.sources import catalog, manifest, panels, vendor
 from tideline.streaming import panel as streaming
 
 START = datetime(2024, 1, 1)
@@ -405,3 +405,55 @@ def test_streaming_panel_equals_batch(spark, tmp_path):
     end = max(d for _, d, _, _ in got)
     want = {tuple(r) for r in panels.activity(spark, sf).select("series", "date", "value", "observed").collect() if r.date <= end}
     assert want == got and len(want) > 3000
+
+
+def test_stacked_plugin(spark):
+    p = make_panel(spark, {"A": range(12), "B": range(10, 22)})
+
+    def mean_last(ctx, h):
+        point = np.broadcast_to(ctx[:, :, -1:].mean(axis=1, keepdims=True), (*ctx.shape[:2], h))
+        return point, point[..., None] + np.array(LEVELS)
+
+    rows = forecast.stacked_plugin_backtest(p, mean_last, 4, 2).where("origin_index = 5").collect()
+    assert len(rows) == 4 and {r.forecast for r in rows} == {9.0} and {r.q90 for r in rows} == {9.9}
+    assert {(r.series, r.horizon_step, r.actual) for r in rows} == {("A", 1, 5), ("A", 2, 6), ("B", 1, 15), ("B", 2, 16)}
+    with pytest.raises(PySparkException, match="not aligned"):
+        forecast.stacked_plugin_backtest(p.where("not (series = 'B' and idx > 8)"), mean_last, 4, 2).collect()
+    with pytest.raises(PySparkException, match="one series at a time"):
+        forecast.stacked_plugin_backtest(p, forecast.univariate_only(mean_last), 4, 2).collect()
+
+
+def test_entity_series(spark):
+    day = lambda d: START + timedelta(days=d)
+    rows = [(day(0), 1, "Foil", None, 5.0), (day(2), 1, "Normal", 7.0, 1.0), (day(2), 1, "Foil", 9.0, 1.0), (day(2), 2, "Normal", 3.0, 3.0), (day(0), 3, None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "date timestamp_ntz, product_id bigint, subtype string, market double, mid double")
+    entities = spark.createDataFrame([("one", 1), ("two", 2)], "label string, product_id bigint")
+    p, used = vendor.entity_series(df, entities, unfilled="drop")
+    assert sorted((r.series, r.date, r.value, r.observed) for r in p.collect()) == [("one", day(0), 5, True), ("one", day(1), 5, False), ("one", day(2), 7, True), ("two", day(2), 3, True)]
+    assert {(r.series, r.field_used): r.n for r in used.collect()} == {("one", "mid"): 1, ("one", "market"): 1, ("two", "market"): 1}
+
+
+def test_catalog_files(spark, tmp_path):
+    (tmp_path / "groups.json").write_text(json.dumps({"results": [{"groupId": 1, "abbreviation": "abc", "name": "A", "categoryId": 1, "publishedOn": "2024-02-09T00:00:00"}, {"groupId": 2, "abbreviation": "X", "name": "B", "categoryId": 2}]}))
+    (tmp_path / "p" / "group=1").mkdir(parents=True)
+    (tmp_path / "p" / "group=1" / "p.json").write_text(json.dumps({"results": [{"productId": 7, "name": "Black Lotus"}]}))
+    groups, products = catalog.load_groups(spark, str(tmp_path / "groups.json"), 1), catalog.load_products(spark, str(tmp_path / "p"), [1])
+    assert [(r.group_id, r.published) for r in groups.collect()] == [(1, "2024-02-09T00:00:00")] and products.first().product_id == 7
+    specs = spark.createDataFrame([("x", "ABC", "black lotus")], "label string, group_abbreviation string, product_name string")
+    r = vendor.resolve_entities(specs, groups, products).first()
+    assert (r.group_id, r.product_id, r.suggestions) == (1, 7, [])
+    assert [r.release.isoformat() for r in vendor.release_dates(products, groups, specs).collect()] == ["2024-02-09"]
+    for d in ("2024-02-08", "2024-02-09"):
+        day = tmp_path / "arch" / f"date={d}"
+        day.mkdir(parents=True)
+        (day / "x.json").write_text('{"productId": 1}')
+    assert catalog.probe_archive(spark, str(tmp_path / "arch"), "2024-02-08") == {"earliest": True, "day_before": False}
+    closes = spark.createDataFrame([("T", START, 1.0), ("T", START + timedelta(days=9), 2.0)], "ticker string, date timestamp_ntz, close double")
+    closes.write.parquet(str(tmp_path / "c"))
+    assert catalog.load_close(spark, str(tmp_path / "c"), "T", end="2024-01-05").count() == 1
+    with pytest.raises(ValueError, match="no rows"):
+        catalog.load_close(spark, str(tmp_path / "c"), "Z")
+    (tmp_path / "m.csv").write_text("DATE,CPI\n2024-01-01,100\n2024-02-01,.\n")
+    assert [r.value for r in catalog.load_macro(spark, str(tmp_path / "m.csv"), "CPI").collect()] == ["100", "."]
+    with pytest.raises(ValueError):
+        catalog.load_macro(spark, str(tmp_path / "m.csv"), "GDP")

@@ -180,6 +180,49 @@ def plugin_backtest(panel: DataFrame, plugin: Plugin, context: int, horizon: int
     )
 
 
+def univariate_only(plugin: Plugin) -> Plugin:
+    """For models that take one series at a time: refuses a stack of series, an array of three axes. [M6]"""
+
+    def run(contexts: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray]:
+        if np.ndim(contexts) != 2:
+            raise ValueError("this model takes one series at a time")
+        return plugin(contexts, horizon)
+
+    return run
+
+
+def stacked_plugin_backtest(panel: DataFrame, plugin: Plugin, context: int, horizon: int, *, origins: DataFrame | None = None) -> DataFrame:
+    """Prediction rows of a multivariate plug-in: contexts (1, series, L) to points (1, series, H) and quantiles (1, series, H, 9). [K2 M1 C6]
+
+    An origin's series are gathered in order of their names; an origin that not all series have is refused. An origin is one row a series.
+    """
+    order = Window.partitionBy("series").orderBy("idx")
+    rows = contexts(panel, context, horizon).where(F.size("targets") == horizon)
+    values = panel.select("series", F.col("idx").alias("origin_index"), F.collect_list("value").over(order.rowsBetween(-context, -1)).alias("ctx"))
+    rows = rows.join(values, ["series", "origin_index"])
+    rows = rows if origins is None else rows.join(origins, ["series", "origin_index"], "left_semi")
+    n_series = panel.select(F.countDistinct("series").alias("n_series"))
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("series")
+        if len(f) != f["n_series"].iloc[0] or f["origin_date"].nunique() > 1:
+            raise ValueError(f"origin {f['origin_index'].iloc[0]} is not aligned across series")
+        point, quantiles = plugin(np.stack(f["ctx"].to_numpy())[None], horizon)
+        check_quantiles(quantiles[0], len(f), horizon)
+        return f[["series", "origin_index"]].assign(points=list(point[0].astype(float)), quantiles=[[list(q) for q in row] for row in quantiles[0].astype(float)])
+
+    own = rows.crossJoin(n_series)  # one number
+    made = own.select("series", "origin_index", "origin_date", "ctx", "n_series").groupBy("origin_index").applyInPandas(run, "series string, origin_index bigint, points array<double>, quantiles array<array<double>>")
+    out = rows.drop("ctx").join(made, ["series", "origin_index"])
+    out = out.select("*", F.posexplode("targets").alias("step", "t")).withColumn("horizon_step", (F.col("step") + 1).cast("bigint")).withColumn("q", F.get("quantiles", F.col("step")))
+    base = _baseline_columns(None)
+    return out.select(
+        F.lit("multivariate").alias("mode"), F.lit("identity").alias("transform"), F.lit(False).alias("make_positive"), "series", "origin_index", "origin_date",
+        F.col("t.idx").alias("target_index"), F.col("t.date").alias("target_date"), "horizon_step", F.col("t.value").alias("actual"), F.col("t.observed").alias("observed"),
+        F.get("points", F.col("step")).alias("forecast"), *(F.get("q", F.lit(i)).alias(q) for i, q in enumerate(QUANTILES)), *(base[b].alias(f"baseline_{b}") for b in BASELINES),
+    )
+
+
 def at_horizon(predictions: DataFrame, horizon: int, most: int) -> DataFrame:
     """The rows that a shorter run would have given. [M4]"""
     if horizon > most:

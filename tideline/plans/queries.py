@@ -176,6 +176,34 @@ def entity_resolution(spark, sf_dir):
     return vendor.resolve_entities(specs, groups, products).select("label", "group_id", "product_id")
 
 
+_ENTITY = """raw AS (SELECT CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS date, 'supplier ' || l_suppkey AS series, CASE WHEN l_discount <> 0 THEN l_extendedprice END AS market, l_extendedprice * 0.95 AS mid,
+  l_linestatus = 'F' AS good FROM lineitem WHERE l_suppkey BETWEEN 1 AND 5),
+g AS (SELECT series, date, count(*) AS n, count(*) FILTER (WHERE good) AS ng, max(market) AS m1, max(mid) AS d1, max(CASE WHEN good THEN market END) AS m2, max(CASE WHEN good THEN mid END) AS d2 FROM raw GROUP BY ALL),
+one AS (SELECT series, date, CASE WHEN n = 1 THEN m1 WHEN ng = 1 THEN m2 END AS market, CASE WHEN n = 1 THEN d1 WHEN ng = 1 THEN d2 END AS mid FROM g),
+pr AS (SELECT series, date, coalesce(market, mid) AS v, CASE WHEN market IS NOT NULL THEN 'market' WHEN mid IS NOT NULL THEN 'mid' END AS used FROM one),
+cal AS (SELECT s.series, d.date FROM (SELECT DISTINCT series FROM pr) s CROSS JOIN (SELECT unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS date FROM pr) d),
+fill AS (SELECT c.series, c.date, last_value(v IGNORE NULLS) OVER (PARTITION BY c.series ORDER BY c.date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS value, v IS NOT NULL AS observed FROM cal c LEFT JOIN pr ON pr.series = c.series AND pr.date = c.date)"""
+
+
+def _entity_series(spark, sf_dir):
+    rows = panels.table(spark, sf_dir, "lineitem").select(
+        F.date_trunc("day", "l_shipdate").cast("timestamp_ntz").alias("date"), F.col("l_suppkey").alias("product_id"), F.when(F.col("l_linestatus") == "F", "Normal").otherwise("Foil").alias("subtype"),
+        F.when(F.col("l_discount") != 0, F.col("l_extendedprice")).alias("market"), (F.col("l_extendedprice") * 0.95).alias("mid"),
+    )
+    entities = spark.range(1, 6).select(F.concat(F.lit("supplier "), "id").alias("label"), F.col("id").alias("product_id"))
+    return vendor.entity_series(rows, entities, conflicts="null", unfilled="drop")
+
+
+@query(f"WITH {_ENTITY} SELECT series, date, {r('value', 4)} AS value, observed, row_number() OVER (PARTITION BY series ORDER BY date) - 1 AS idx FROM fill WHERE value IS NOT NULL")
+def entity_series(spark, sf_dir):
+    return digits(_entity_series(spark, sf_dir)[0].select("series", "date", "value", "observed", "idx"), 4, "value")
+
+
+@query(f"WITH {_ENTITY} SELECT series, used AS field_used, count(*) AS n FROM pr WHERE used IS NOT NULL GROUP BY ALL")
+def entity_price_usage(spark, sf_dir):
+    return _entity_series(spark, sf_dir)[1]
+
+
 # ---- origins -------------------------------------------------------------------------------------------------------------
 
 
@@ -309,6 +337,18 @@ def backtest_plugin(spark, sf_dir):
     return digits(rows.select("series", "origin_index", "horizon_step", "forecast", "q10", "q90"), 4, "forecast", "q10", "q90")
 
 
+@query(f"WITH {MARKET}, {backtest_sql('market', quantiles='level', horizon=3)} SELECT series, origin_index, horizon_step, {r('avg(forecast) OVER (PARTITION BY origin_index, horizon_step)', 4)} AS forecast FROM bt")
+def backtest_stacked_plugin(spark, sf_dir):
+    """A multivariate plug-in: every series is forecast by the mean of all last values."""
+
+    def mean_of_panel(contexts, horizon):
+        point = np.broadcast_to(contexts[:, :, -1:].mean(axis=1, keepdims=True), (*contexts.shape[:2], horizon))
+        return point, point[..., None] + np.array(LEVELS)
+
+    rows = forecast.stacked_plugin_backtest(panels.market(spark, sf_dir), mean_of_panel, L, 3)
+    return digits(rows.select("series", "origin_index", "horizon_step", "forecast"), 4, "forecast")
+
+
 @query()
 def ets_baseline(spark, sf_dir):
     p = panels.market(spark, sf_dir)

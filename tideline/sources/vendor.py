@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.panel import dense
+from ..schema import FILL_LIMIT
+
 #: Price policies: which fields may be used, in order. Never the low or high price. [F2]
 POLICIES = {"market_then_mid": ("market", "mid"), "market_only": ("market",), "mid_only": ("mid",)}
 #: The subtype that wins among several rows of a product; a missing subtype counts as it. [F3]
@@ -36,10 +39,24 @@ def resolve_duplicates(rows: DataFrame, keys: list[str], subtype: str, value: st
     outcome = F.when(F.col("n_rows") == 1, "single").when(F.col("n_good") == 1, "preferred").otherwise("conflict")
     picked = F.when(F.col("n_rows") == 1, F.col("any")).when(F.col("n_good") == 1, F.col("good"))
     if conflicts == "raise":
-        picked = picked.otherwise(F.raise_error(F.concat(F.lit("no single row for "), F.to_json(F.struct(*keys)))).cast("double"))
+        picked = picked.otherwise(F.raise_error(F.concat(F.lit("no single row for "), F.to_json(F.struct(*keys)))).cast(rows.schema[value].dataType))
     return out.select(*keys, "n_rows", picked.alias("value"), outcome.alias("outcome"))
 
 
+def entity_series(rows: DataFrame, entities: DataFrame, policy: str = "market_then_mid", fill_limit: int = FILL_LIMIT, conflicts: str = "raise", unfilled: str = "raise") -> tuple[DataFrame, DataFrame]:
+    """Panel of the entities' prices and (series, field_used, n), how often each price field was used. [C3]
+
+    rows: (date, product_id, subtype, market, mid); entities: (label, product_id). Duplicates are resolved, the policy picks a price, every day
+    of the calendar gets a row and gaps are filled for at most ``fill_limit`` days.
+    """
+    own = rows.join(entities.select(F.col("label").alias("series"), "product_id"), "product_id")
+    single = resolve_duplicates(own.withColumn("both", F.struct("market", "mid")), ["series", "date"], "subtype", "both", conflicts)
+    p, used = price(policy, F.col("value.market"), F.col("value.mid"))
+    priced = single.select("series", "date", p.alias("value"), used.alias("field_used"))
+    counters = priced.where("field_used is not null").groupBy("series", "field_used").agg(F.count("*").alias("n"))
+    return dense(priced.select("series", "date", "value"), "day", fill_limit, unfilled), counters
+
+
 def resolve_entities(specs: DataFrame, groups: DataFrame, products: DataFrame, suggestions: int = 5) -> DataFrame:
     """(label, group_id, product_id, suggestions) for specs (label, group_abbreviation, product_name). [F4]
 
