@@ -358,11 +358,11 @@ def test_vendor_rows(spark, tmp_path):
 
 
 def test_entities_are_suggested(spark):
-    specs = spark.createDataFrame([("x", "abc", "Blak Lotus")], "label string, group_abbreviation string, product_name string")
+    specs = spark.createDataFrame([("x", "abc", "Blu Lantern")], "label string, group_abbreviation string, product_name string")
     groups = spark.createDataFrame([(1, "ABC")], "group_id bigint, abbreviation string")
-    products = spark.createDataFrame([(1, 7, "Black Lotus"), (1, 8, "Forest")], "group_id bigint, product_id bigint, name string")
+    products = spark.createDataFrame([(1, 7, "Blue Lantern"), (1, 8, "Forest")], "group_id bigint, product_id bigint, name string")
     r = vendor.resolve_entities(specs, groups, products).first()
-    assert r.product_id is None and r.suggestions[0] == "Black Lotus"
+    assert r.product_id is None and r.suggestions[0] == "Blue Lantern"
 
 
 def test_stored_panels_and_archives(spark, tmp_path):
@@ -436,10 +436,10 @@ def test_entity_series(spark):
 def test_catalog_files(spark, tmp_path):
     (tmp_path / "groups.json").write_text(json.dumps({"results": [{"groupId": 1, "abbreviation": "abc", "name": "A", "categoryId": 1, "publishedOn": "2024-02-09T00:00:00"}, {"groupId": 2, "abbreviation": "X", "name": "B", "categoryId": 2}]}))
     (tmp_path / "p" / "group=1").mkdir(parents=True)
-    (tmp_path / "p" / "group=1" / "p.json").write_text(json.dumps({"results": [{"productId": 7, "name": "Black Lotus"}]}))
+    (tmp_path / "p" / "group=1" / "p.json").write_text(json.dumps({"results": [{"productId": 7, "name": "Blue Lantern"}]}))
     groups, products = catalog.load_groups(spark, str(tmp_path / "groups.json"), 1), catalog.load_products(spark, str(tmp_path / "p"), [1])
     assert [(r.group_id, r.published) for r in groups.collect()] == [(1, "2024-02-09T00:00:00")] and products.first().product_id == 7
-    specs = spark.createDataFrame([("x", "ABC", "black lotus")], "label string, group_abbreviation string, product_name string")
+    specs = spark.createDataFrame([("x", "ABC", "blue lantern")], "label string, group_abbreviation string, product_name string")
     r = vendor.resolve_entities(specs, groups, products).first()
     assert (r.group_id, r.product_id, r.suggestions) == (1, 7, [])
     assert [r.release.isoformat() for r in vendor.release_dates(products, groups, specs).collect()] == ["2024-02-09"]

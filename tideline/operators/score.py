@@ -21,12 +21,12 @@ def mase_scales(panel: DataFrame, boundary: int, season: int = 1) -> DataFrame:
 
 
 def dm_columns(horizon: Column) -> tuple[Column, Column]:
-    """(statistic, rows) of a group with ``d`` = ordered array of loss differences; no variance gives 0. [D1]
+    """(statistic, rows) of a group with ``d`` = ordered array of loss differences and ``d_mean``; no variance gives 0. [D1]
 
     Autocovariances are normalised by the number of rows; the small-sample factor is that of Harvey, Leybourne and Newbold.
     """
     n = F.size("d").cast("double")
-    mean = F.aggregate("d", F.lit(0.0), lambda s, x: s + x) / n
+    mean = F.col("d_mean")  # a column: an expression would be worked out anew for every element
     e = F.transform("d", lambda x: x - mean)
 
     def covariance(lag: Column) -> Column:
@@ -47,7 +47,7 @@ def dm_statistics(rows: DataFrame, keys: Sequence[str], loss_a: Column, loss_b:
     """
     h = horizon if horizon is not None else (F.col("horizon_step") if "horizon_step" in keys else F.lit(1))
     sorted_d = F.transform(F.array_sort(F.collect_list(F.struct("origin_index", "horizon_step", (loss_a - loss_b).alias("v")))), lambda x: x["v"])
-    groups = rows.groupBy(*keys).agg(sorted_d.alias("d"))
+    groups = rows.groupBy(*keys).agg(sorted_d.alias("d"), F.avg(loss_a - loss_b).alias("d_mean"))
     stat, n = dm_columns(h)
     enough = n >= F.greatest(F.lit(float(DM_LEAST_ROWS)), 2 * h.cast("double"))
     return groups.select(*keys, F.when(enough, stat).alias("dm_stat"), F.size("d").cast("bigint").alias("dm_n"))
