@@ -29,7 +29,7 @@ LEAST, GRAM = 400, 32
 #: Anchors with more distinct contexts than this are not gathered in one task.
 HOT = 20_000
 #: Bytes worked on at once.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 _M = np.uint64(0xD6E8FEB86659FD93)
 

@@ -28,8 +28,8 @@ ALPHA, BETA, L1, L2, PASSES = 1.0, 1.0, 2.0, 0.0, 3
 TUNED_EVERY, TUNED_LEAST = 4, 20
 #: A document counts as toxic from this score on.
 THRESHOLD = 0.7
-#: Words whose digests a worker remembers.
-CACHE_WORDS = 400_000
+#: Words whose digests a worker remembers; a digest is cheap, so they are few.
+CACHE_WORDS = 60_000
 
 _WORD = re.compile(r"\w+")
 
