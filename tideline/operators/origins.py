@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+MOST_EVENTS = 10_000
+
 
 def target_indices(origins: DataFrame, horizon: int) -> DataFrame:
     """Rows (…, horizon_step, target_index) for steps 1 to ``horizon``. [W1]"""
@@ -39,10 +41,12 @@ def leaks(predictions: DataFrame, context: int) -> DataFrame:
 def nearest_origin(panel: DataFrame, events: DataFrame) -> DataFrame:
     """(series, event, event_date, arm, center): index of the date nearest to each event, the earlier of two; the ends count for dates outside. [W5]
 
-    Events are few (a dimension table), so each series' rows are scanned once and reduced before the shuffle.
+    Events are a dimension table of at most MOST_EVENTS rows, more are refused: each is held against every row of the panel, and reduced before the shuffle.
     """
+    if events.limit(MOST_EVENTS + 1).count() > MOST_EVENTS:
+        raise ValueError(f"more than {MOST_EVENTS} events")
     gap = F.abs(F.unix_seconds(F.col("date").cast("timestamp")) - F.unix_seconds(F.col("event_date").cast("timestamp")))
-    pairs = panel.crossJoin(F.broadcast(events.limit(10_000)))
+    pairs = panel.crossJoin(F.broadcast(events))
     return pairs.groupBy("series", "event", "event_date", "arm").agg(F.min_by("idx", F.struct(gap, "idx")).alias("center"))
 
 

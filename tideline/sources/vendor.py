@@ -64,7 +64,7 @@ def resolve_entities(specs: DataFrame, groups: DataFrame, products: DataFrame, s
     """
     g = groups.groupBy(F.upper("abbreviation").alias("abbr")).agg(F.min("group_id").alias("group_id"))
     p = products.groupBy("group_id", F.lower("name").alias("p_name")).agg(F.min("product_id").alias("product_id"))
-    found = specs.join(F.broadcast(g.limit(1_000_000)), F.upper("group_abbreviation") == F.col("abbr"), "left")
+    found = specs.join(g, F.upper("group_abbreviation") == F.col("abbr"), "left")
     found = found.join(p, (found["group_id"] == p["group_id"]) & (F.lower("product_name") == F.col("p_name")), "left").select("label", "product_name", found["group_id"], "product_id")
     missing = found.where("product_id is null and group_id is not null").join(products.select("group_id", "name"), "group_id")
     near = missing.select("label", F.struct(F.levenshtein(F.lower("product_name"), F.lower("name")).alias("d"), "name").alias("s")).groupBy("label").agg(F.slice(F.array_sort(F.collect_set("s")), 1, suggestions).alias("s"))
