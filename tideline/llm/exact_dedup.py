@@ -106,6 +106,8 @@ def dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col:
     """
     keyed, _ = stored(_keyed(docs, id_col, text_col), "digests")  # texts are read and hashed once
     owned = _owned(keyed, index)
+    # Written first: a join of two plain exchanges can be split where one text has very many rows.
+    owned, _ = stored(owned, "owned")
     marked = _winners(keyed, owned, "left").select("doc_id", "text_sha256", F.col("won").alias("kept"))
     return marked.join(owned, "text_sha256").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
