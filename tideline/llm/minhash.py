@@ -310,7 +310,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = rows.where("n_shingles > 0").join(nodes.select("uid"), "uid")
     signed, path2 = stored(signed.select("uid", "doc_id", "digest", "keys"), "units")
     banded = signed.select("uid", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # Written first, as are the classes below: a join of two plain exchanges can be split where one key has very many rows.
+    shared, path5 = stored(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
     members, path3 = stored(banded.join(shared, "key").select("key", "uid"), "members")
     wanted = members.select("uid").distinct().join(signed.select("uid", "doc_id", "digest"), "uid").select("uid", F.col("doc_id").alias("w_id"), F.col("digest").alias("w_digest"))
     texts = plain.withColumn("digest", text_digest(F.col("text")))
@@ -328,14 +329,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels, old = stored(joined, "labels")[0], label_path
         drop_path(docs.sparkSession, old)
         label_path = new_path
-    for path in (path2, path3, path4):
+    for path in (path2, path3, path4, path5):
         drop_path(docs.sparkSession, path)
     comps = nodes.join(labels, "uid", "left").select("node", F.coalesce("comp", "uid").alias("comp"))
     placed, _ = stored(rows.select("doc_id", "digest", "uid", "node").join(comps, "node").select("doc_id", F.col("digest").alias("text_md5"), "uid", "comp"), "placed")
     drop_path(docs.sparkSession, path1)
     rank = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_md5", "uid")
     classes = placed.groupBy("comp").agg(F.min(rank).alias("best"), F.count("*").alias("class_size"))
-    classes = classes.select("comp", F.col("best.doc_id").alias("class_id"), F.col("best.uid").alias("best_uid"), "class_size")
+    classes, _ = stored(classes.select("comp", F.col("best.doc_id").alias("class_id"), F.col("best.uid").alias("best_uid"), "class_size"), "classes")
     return placed.join(classes, "comp").select("doc_id", "text_md5", "class_id", "class_size", (F.col("uid") == F.col("best_uid")).alias("kept"))
 
 
