@@ -13,7 +13,6 @@ import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
