@@ -27,7 +27,7 @@ _PATTERNS = {
     "word": f"{_CONTRACTIONS}|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+",
 }
 #: Words that a worker remembers; when there are more, those of up to SHORT characters stay, as longer ones seldom come again.
-CACHE_WORDS, SHORT = 400_000, 9
+CACHE_WORDS, SHORT = 600_000, 9
 #: Characters split at once, and new words put into one text for the library.
 CHUNK_CHARS, JOINED_WORDS = 1_500_000, 500
 
