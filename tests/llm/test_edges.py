@@ -167,6 +167,24 @@ def test_random_text_is_incompressible():
     assert quality.duplicate_lines(b"a\n\n\na\n \n b\na") == 2
 
 
+def test_bytes_after_the_last_whole_chunk_are_judged():
+    import base64
+
+    import zstandard
+
+    c = zstandard.ZstdCompressor(level=3)
+    words = (" ".join(random.Random(1).choices(WORDS[:60], k=3000))).encode()
+    noise = base64.b64encode(random.Random(1).randbytes(3000))[:3800]
+    clean = quality.compression_verdict(words[:7896], c)
+    assert clean[1:] == (2, 0, "ok")
+    for data in (words[:4096] + noise, noise + words[:4096]):
+        ratio, n, bad, verdict = quality.compression_verdict(data, c)
+        assert quality.outside(ratio, len(data)) is None and (n, bad, verdict) == (2, 1, "chunks")
+    ratio, n, bad, verdict = quality.compression_verdict(words[:4096] + b"same line\n" * 50, c)
+    assert quality.outside(ratio, 4596) is None and (n, bad, verdict) == (2, 1, "chunks")
+    assert quality.compression_verdict(words[:4096], c)[1:] == (1, 0, "ok")
+
+
 def test_license_scan(docs, empty):
     got = {r.doc_id: r for r in license_scan.scan(docs).collect() if r.doc_id is not None}
     assert {m.label for m in got[11].matches} == {"apache"} and sorted(p.label for p in got[11].places) == ["cc-by", "cc-by", "reserved"]

@@ -29,7 +29,8 @@ BANDS = (
     (16384, 1.5, 4.6),
     (65536, 1.5, 5.2),
 )
-#: Whole chunks of this many bytes are judged one by one; a document goes when more than this share of them is outside its band.
+#: Chunks of this many bytes and the rest after the last of them are judged one by one, each by the band of its own length; a document
+#: goes when more than this share of them is outside its band.
 CHUNK_BYTES, BAD_CHUNKS = 4096, 0.3
 #: Base rules: fewest words, and most words (per cent) in 5-word windows found more than once.
 MIN_WORDS, MAX_REPEATED, WINDOW = 10, 20, 5
@@ -77,14 +78,12 @@ def outside(ratio: float, n_bytes: int) -> str | None:
 
 
 def compression_verdict(data: bytes, compressor: zstandard.ZstdCompressor) -> tuple[float, int, int, str]:
-    """Whole ratio, whole chunks, chunks outside their band, and the verdict: ok, incompressible, repetitive or chunks."""
+    """Whole ratio, chunks with the shorter last one, chunks outside their band, and the verdict: ok, incompressible, repetitive or chunks."""
     if not data:
         return 0.0, 0, 0, "ok"
     ratio = len(data) / len(compressor.compress(data))
-    n, bad = len(data) // CHUNK_BYTES, 0
-    for i in range(n):
-        chunk = data[i * CHUNK_BYTES : (i + 1) * CHUNK_BYTES]
-        bad += outside(CHUNK_BYTES / len(compressor.compress(chunk)), CHUNK_BYTES) is not None
+    chunks = [data[i : i + CHUNK_BYTES] for i in range(0, len(data), CHUNK_BYTES)]
+    n, bad = len(chunks), sum(outside(len(c) / len(compressor.compress(c)), len(c)) is not None for c in chunks)
     return ratio, n, bad, outside(ratio, len(data)) or ("chunks" if bad > BAD_CHUNKS * n else "ok")
 
 
