@@ -338,6 +338,26 @@ def test_grid(spark, tmp_path):
         grid.placebo_panel("ab", 3)
 
 
+def test_ets_fills_prediction_rows_and_boards(spark):
+    values = {"A": [10 + 3 * (i % 3) + i * 0.5 for i in range(16)], "B": [40 - i + (i * i) % 5 for i in range(16)], "C": [-5.0] * 16}
+    p = make_panel(spark, values)
+    for transform in ("identity", "log1p"):
+        rows = forecast.backtest(p, forecast.last_plus_level(), 8, 2, season=3, transform=transform)
+        got = forecast.with_ets(rows, p, 8, 2, season=3, transform=transform)
+        assert got.columns == rows.columns and got.count() == rows.count() > 0
+        for r in got.collect():
+            ctx = np.array(values[r.series][r.origin_index - 8 : r.origin_index])
+            if transform == "log1p" and r.series == "C":
+                assert r.baseline_ets is None  # the context has no logarithm
+            else:
+                want = forecast.holt(np.log1p(ctx) if transform == "log1p" else ctx, 2, 3)[r.horizon_step - 1]
+                assert r.baseline_ets == pytest.approx(np.expm1(want) if transform == "log1p" else want)
+    scales = score.mase_scales(p, 8)
+    long = score.leaderboard(forecast.with_ets(forecast.backtest(p, forecast.last_plus_level(), 8, 2, season=3), p, 8, 2, season=3), scales)
+    n = {(r.baseline_method, r.series, r.horizon_step): r.n for r in long.collect()}
+    assert all(n["ets", s, h] == n["naive", s, h] for s in "ABC" for h in (1, 2))
+
+
 def test_vendor_rows(spark, tmp_path):
     rows = spark.createDataFrame([(12.5, 99.0), (None, 7.0), (None, None)], "market double, mid double")
     p, used = vendor.price("market_then_mid", F.col("market"), F.col("mid"))

@@ -69,7 +69,7 @@ def contexts(panel: DataFrame, context: int, horizon: int, transform: str = "ide
 
 
 def _baseline_columns(season: int | None) -> dict[str, Column]:
-    """Baselines in the transformed domain; NULL where the season does not fit. [B1 B2 B3 B5]"""
+    """Baselines in the transformed domain; NULL where the season does not fit. Exponential smoothing is left NULL: ``with_ets`` fills it. [B1 B2 B3]"""
     h = F.col("horizon_step")
     drift = F.col("ctx_last") + (F.col("ctx_last") - F.col("ctx_first")) / (F.col("ctx_n") - 1) * h
     seasonal = F.get("ctx_season", ((h - 1) % season).cast("int")) if season else F.lit(None).cast("double")
@@ -92,7 +92,7 @@ def backtest(
 
     Without ``origins`` those with a whole context and horizon are taken; with them, targets beyond the end are left out. The transform
     holds for contexts, is undone on forecasts, quantiles and baselines, and does not touch actual.
-    make_positive cuts forecasts at 0 where the context has no value below 0.
+    make_positive cuts forecasts at 0 where the context has no value below 0. baseline_ets is NULL, ``with_ets`` fills it.
     """
     if context < 2:
         raise ValueError("a drift needs a context of at least 2")
@@ -291,4 +291,15 @@ def ets_baseline(panel: DataFrame, context: int, horizon: int, *, season: int |
     return made.select("series", "origin_index", F.posexplode_outer(F.coalesce("fit", F.array_repeat(F.lit(None).cast("double"), horizon))).alias("step", "baseline_ets")).select("series", "origin_index", (F.col("step") + 1).cast("bigint").alias("horizon_step"), "baseline_ets")
 
 
+def with_ets(predictions: DataFrame, panel: DataFrame, context: int, horizon: int, *, season: int | None = None, transform: str = "identity", origins: DataFrame | None = None) -> DataFrame:
+    """Prediction rows with baseline_ets filled from the fit of their own origin; NULL only where the fit fails. [B5]
+
+    ``context``, ``horizon``, ``season``, ``transform`` and ``origins`` are those of the run that made the rows: the fit sees the transformed context and is turned back.
+    """
+    forward, back = TRANSFORMS[transform]
+    fits = ets_baseline(panel.withColumn("value", forward(F.col("value"))), context, horizon, season=season, origins=origins)
+    keys = ["series", "origin_index", "horizon_step"]
+    return predictions.drop("baseline_ets").join(fits.withColumn("baseline_ets", back(F.col("baseline_ets"))), keys, "left").select(*predictions.columns)
+
+
 assert set(PREDICTION_COLUMNS) >= {f"baseline_{b}" for b in BASELINES}

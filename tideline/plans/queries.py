@@ -473,6 +473,22 @@ def leaderboard_aggregate(spark, sf_dir):
     return digits(score.aggregate_leaderboard(_board(spark, sf_dir), ["baseline_method", "horizon_step"]), 6, "relative_mae_median", "relative_mae_weighted", "skill_median", "skill_weighted")
 
 
+def _ets_board(spark, sf_dir):
+    p = panels.activity(spark, sf_dir)
+    return score.leaderboard(forecast.with_ets(activity_rows(spark, sf_dir), p, L, H, season=SEASON), score.mase_scales(p, L))
+
+
+@query()
+def leaderboard_ets(spark, sf_dir):
+    """The rows of leaderboard and those against exponential smoothing."""
+    return digits(_ets_board(spark, sf_dir).select("baseline_method", "series", "horizon_step", "n", "relative_mae_vs_baseline"), 6, "relative_mae_vs_baseline")
+
+
+@query()
+def leaderboard_ets_aggregate(spark, sf_dir):
+    return digits(score.aggregate_leaderboard(_ets_board(spark, sf_dir), ["baseline_method", "horizon_step"]), 6, "relative_mae_median", "relative_mae_weighted", "skill_median", "skill_weighted")
+
+
 @query(f"""{AT}, {_ACC_DRIFT}, {_CAL}, a AS (SELECT horizon_step, avg(mae / baseline_mae) AS m, min(mae / baseline_mae) AS lo, max(mae / baseline_mae) AS hi FROM acc GROUP BY 1), c AS (SELECT horizon_step, avg(coverage) AS c FROM calib GROUP BY 1)
 SELECT horizon_step, {r('m', 6)} AS relative_mae_mean, {r('lo', 6)} AS relative_mae_min, {r('hi', 6)} AS relative_mae_max, {r('c', 6)} AS coverage_mean FROM a LEFT JOIN c USING (horizon_step)""")
 def horizon_profile(spark, sf_dir):
