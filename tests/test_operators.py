@@ -338,6 +338,48 @@ def test_grid(spark, tmp_path):
         grid.placebo_panel("ab", 3)
 
 
+def test_grid_runs_every_cell(spark):
+    values = {n: [float(5 * k + 10 + (i * (k + 2)) % 7) for i in range(12)] for k, n in enumerate("ABCD")}
+    p = make_panel(spark, values)
+    columns = ["context_len", "requested_horizon", "transform", "make_positive", "mode"]
+
+    def ran(c):
+        return {tuple(r) for r in grid.run_grid(p, c, forecast.empirical_step).select(*columns).distinct().collect()}
+
+    def listed(c, pool):
+        return {(r.context_len, r.horizon, grid.TRANSFORM_NAMES[r.transform], r.make_positive, r.mode) for r in grid.cells(spark, c, pool).collect()}
+
+    c = grid.GridConfig("g", (4, 6), (1, 2), modes=("univariate", "multivariate", "placebo"), placebo_panel_size=2, season_length=3, origin_stride=2, baselines=("naive", "ets"))
+    rows = grid.run_grid(p, c, forecast.empirical_step).collect()
+    assert {(r.context_len, r.requested_horizon, r.transform, r.make_positive, r.mode) for r in rows} == listed(c, 4) and len(listed(c, 4)) == 48
+    drawn = set(grid.placebo_panel("ABCD", 2))
+    origins_of = {r.origin_index for r in rows if r.mode == "univariate"}
+    for mode in c.modes:
+        own = [r for r in rows if r.mode == mode]
+        assert {r.series for r in own} == (drawn if mode == "placebo" else set("ABCD")) and {r.origin_index for r in own} == origins_of
+        assert all(r.baseline_seasonal_naive is not None and r.baseline_ets is not None for r in own)
+    for r in rows:
+        if r.mode != "univariate":
+            f = np.log1p if r.transform == "log1p" else np.asarray
+            past = {s: f(np.array(values[s][r.origin_index - r.context_len : r.origin_index])) for s in (drawn if r.mode == "placebo" else "ABCD")}
+            growth = np.mean([(x[-1] - x[0]) / x[0] for x in past.values()])
+            want = past[r.series][-1] * (1 + 0.5 * growth * r.horizon_step / (r.context_len - 1))
+            assert r.forecast == pytest.approx(np.expm1(want) if r.transform == "log1p" else want)
+    one_mode = grid.GridConfig("g", (4,), (1,), modes=("placebo",), placebo_panel_size=3)
+    assert ran(one_mode) == listed(one_mode, 4) != set()
+    small = grid.GridConfig("g", (4,), (1,), modes=("placebo",))
+    assert ran(small) == listed(small, 4) == set()
+    two = grid.GridConfig("g", (4,), (1,), series=("A", "C"))
+    assert {r.series for r in grid.run_grid(p, two, forecast.empirical_step).collect()} == {"A", "C"}
+
+
+def test_multivariate_positivity(spark):
+    p = make_panel(spark, {"A": [8, 4, 2, 0, 1], "B": [-1, 8, 1, -7, 1]})
+    raw, cut = ({(r.series, r.origin_index): r for r in forecast.stacked_backtest(p, 3, 1, pull=9, make_positive=m).collect()} for m in (False, True))
+    assert raw["A", 3].forecast < 0 == cut["A", 3].forecast == cut["A", 3].q10
+    assert {k: r.forecast for k, r in cut.items() if k[0] == "B"} == {k: r.forecast for k, r in raw.items() if k[0] == "B"}
+
+
 def test_ets_fills_prediction_rows_and_boards(spark):
     values = {"A": [10 + 3 * (i % 3) + i * 0.5 for i in range(16)], "B": [40 - i + (i * i) % 5 for i in range(16)], "C": [-5.0] * 16}
     p = make_panel(spark, values)

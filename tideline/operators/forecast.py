@@ -114,22 +114,42 @@ def backtest(
     )
 
 
-def stacked_backtest(panel: DataFrame, context: int, horizon: int, *, pull: float = 0.5) -> DataFrame:
+def stacked_backtest(
+    panel: DataFrame,
+    context: int,
+    horizon: int,
+    *,
+    pull: float = 0.5,
+    transform: str = "identity",
+    make_positive: bool = False,
+    season: int | None = None,
+    mode: str = "multivariate",
+    origins: DataFrame | None = None,
+) -> DataFrame:
     """Multivariate run with a forecaster that sees all series of an origin: each moves towards the mean growth of the panel. [K2]
 
     The stack of an origin is its row of every series; the growth of all of them is averaged by origin and joined back.
-    Point: last * (1 + pull * mean growth over the context * step / (L - 1)); quantiles: point plus the level.
+    Point: last * (1 + pull * mean growth over the context * step / (L - 1)); quantiles: point plus the level; both in the transformed domain and turned back.
+    transform, make_positive, season and origins as in ``backtest``, but a whole horizon is always needed.
     """
-    rows = contexts(panel, context, horizon).where(F.size("targets") == horizon)
+    _, back = TRANSFORMS[transform]
+    fits = season if season and season <= context else None
+    rows = contexts(panel, context, horizon, transform, fits).where(F.size("targets") == horizon)
+    rows = rows if origins is None else rows.join(origins, ["series", "origin_index"], "left_semi")
     growth = rows.groupBy("origin_index").agg(F.avg(F.try_divide(F.col("ctx_last") - F.col("ctx_first"), "ctx_first")).alias("growth"))
     rows = rows.join(growth, "origin_index")
     rows = rows.select("*", F.posexplode("targets").alias("step", "t")).withColumn("horizon_step", (F.col("step") + 1).cast("bigint"))
     point = F.col("ctx_last") * (1 + pull * F.col("growth") * F.col("horizon_step") / (context - 1))
-    base = _baseline_columns(None)
+
+    def positive(c: Column) -> Column:
+        return F.when(F.col("ctx_low") >= 0, F.greatest(c, F.lit(0.0))).otherwise(c) if make_positive else c
+
+    base = _baseline_columns(fits)
     return rows.select(
-        F.lit("multivariate").alias("mode"), F.lit("identity").alias("transform"), F.lit(False).alias("make_positive"), "series", "origin_index", "origin_date",
+        F.lit(mode).alias("mode"), F.lit(transform).alias("transform"), F.lit(make_positive).alias("make_positive"), "series", "origin_index", "origin_date",
         F.col("t.idx").alias("target_index"), F.col("t.date").alias("target_date"), "horizon_step", F.col("t.value").alias("actual"), F.col("t.observed").alias("observed"),
-        point.alias("forecast"), *((point + level).alias(q) for q, level in zip(QUANTILES, LEVELS, strict=True)), *(base[b].alias(f"baseline_{b}") for b in BASELINES),
+        positive(back(point)).alias("forecast"), *(positive(back(point + level)).alias(q) for q, level in zip(QUANTILES, LEVELS, strict=True)),
+        *(back(base[b]).alias(f"baseline_{b}") for b in BASELINES),
     )
 
 

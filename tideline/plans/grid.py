@@ -11,9 +11,9 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.forecast import Forecaster, backtest, stacked_backtest
+from ..operators.forecast import Forecaster, backtest, stacked_backtest, with_ets
 from ..operators.origins import common_origins
-from ..schema import BASELINES, SEED
+from ..schema import BASELINES, PREDICTIONS, SEED
 
 MODES = ("univariate", "multivariate", "placebo")
 #: Names in configurations and what rows carry.
@@ -84,12 +84,17 @@ def placebo_panel(pool: Sequence[str], size: int, seed: int = SEED) -> tuple[str
     return tuple(random.Random(seed).sample(list(pool), size))
 
 
+def _own_series(panel: DataFrame, config: GridConfig) -> DataFrame:
+    """The series that the configuration names, or all if it names none."""
+    return panel.where(F.col("series").isin(*config.series)) if config.series else panel
+
+
 def dry_run(spark: SparkSession, config: GridConfig, panel: DataFrame | None, pool: int) -> DataFrame:
     """One row: config_id, n_origins, n_combos, n_skipped, pool, estimated_calls. No forecaster runs. [W10]"""
     if panel is None:
         n = spark.range(1).select(F.col("id").alias("n_origins"))
     else:
-        origins = common_origins(panel, config.context_lengths, config.horizons, config.origin_stride, config.max_origins)
+        origins = common_origins(_own_series(panel, config), config.context_lengths, config.horizons, config.origin_stride, config.max_origins)
         n = origins.groupBy("series").count().agg(F.coalesce(F.min("count"), F.lit(0)).alias("n_origins"))
     grid = cells(spark, config, pool).agg(F.count("*").alias("n_combos"), F.count_if(F.col("mode") == "univariate").alias("n_uni"))
     full = len(config.context_lengths) * len(config.horizons) * len(config.transforms) * len(config.make_positive) * len(config.modes)
@@ -101,26 +106,33 @@ def dry_run(spark: SparkSession, config: GridConfig, panel: DataFrame | None, po
 
 
 def run_grid(panel: DataFrame, config: GridConfig, forecaster: Callable[[int], Forecaster]) -> DataFrame:
-    """Prediction rows of all cells with config_id, context_len and requested_horizon. [K4]
+    """Prediction rows of all cells with config_id, context_len and requested_horizon; no rows where ``cells`` has none. [K4]
 
-    All cells use the same origins. Built-in forecasters give the same step for every horizon, so each context, transform and
-    positivity runs once at the longest horizon and shorter ones are cut from its rows.
+    All cells use the same origins. Built-in forecasters give the same step for every horizon, so each context, mode, transform and
+    positivity runs once at the longest horizon and shorter ones are cut from its rows. Placebo cells are multivariate runs over the
+    drawn panel. Rows have every closed-form baseline, and exponential smoothing where the configuration names it.
     """
+    panel = _own_series(panel, config)
     origins = common_origins(panel, config.context_lengths, config.horizons, config.origin_stride, config.max_origins)
-    out = None
+    modes, drawn = config.modes, panel
+    if "placebo" in modes:
+        pool = sorted(r.series for r in panel.select("series").distinct().collect())
+        if len(pool) > config.placebo_panel_size:
+            drawn = panel.where(F.col("series").isin(*placebo_panel(pool, config.placebo_panel_size, config.placebo_seed)))
+        else:
+            modes = tuple(m for m in modes if m != "placebo")
+    out = panel.sparkSession.createDataFrame([], f"{PREDICTIONS}, context_len bigint")
     longest = max(config.horizons)
-    for context in config.context_lengths:
-        for mode in config.modes:
-            for transform in config.transforms if mode == "univariate" else ("raw",):
-                for positive in config.make_positive if mode == "univariate" else (False,):
-                    if mode == "univariate":
-                        rows = backtest(panel, forecaster(context), context, longest, transform=TRANSFORM_NAMES[transform], make_positive=positive, season=config.season_length, origins=origins)
-                    elif mode == "multivariate":
-                        rows = stacked_backtest(panel, context, longest).join(origins, ["series", "origin_index"], "left_semi")
-                    else:
-                        continue
-                    rows = rows.withColumn("context_len", F.lit(context).cast("bigint"))
-                    out = rows if out is None else out.unionByName(rows)
+    for context, mode, transform, positive in product(config.context_lengths, modes, config.transforms, config.make_positive):
+        own = drawn if mode == "placebo" else panel
+        how = {"transform": TRANSFORM_NAMES[transform], "season": config.season_length, "origins": origins}
+        if mode == "univariate":
+            rows = backtest(own, forecaster(context), context, longest, make_positive=positive, **how)
+        else:
+            rows = stacked_backtest(own, context, longest, make_positive=positive, mode=mode, **how)
+        if "ets" in config.baselines:
+            rows = with_ets(rows, own, context, longest, **how)
+        out = out.unionByName(rows.withColumn("context_len", F.lit(context).cast("bigint")))
     steps = F.explode(F.array(*(F.lit(h).cast("bigint") for h in config.horizons)))
     out = out.withColumn("requested_horizon", steps).where(F.col("horizon_step") <= F.col("requested_horizon"))
     return out.withColumn("config_id", F.lit(config.config_id))

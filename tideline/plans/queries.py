@@ -286,7 +286,7 @@ def grid_backtest_leaderboard(spark, sf_dir):
     p = panels.market(spark, sf_dir)
     rows = grid.run_grid(p, GRID, forecast.empirical_step)
     keys = ["transform", "make_positive", "context_len", "requested_horizon", "series"]
-    board = score.leaderboard(rows, score.mase_scales(p, 64), keys, ("naive", "drift"))
+    board = score.leaderboard(rows, score.mase_scales(p, 64), keys, GRID.baselines)
     out = score.aggregate_leaderboard(board, ["baseline_method", *keys[:-1]])
     return digits(out, 6, "relative_mae_median", "relative_mae_weighted").drop("skill_median", "skill_weighted")
 
