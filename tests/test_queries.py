@@ -1,6 +1,7 @@
 """Every registered query with SQL gives the same rows in DuckDB."""
 
 import math
+from collections import Counter
 from datetime import date, datetime
 from decimal import Decimal
 
@@ -55,6 +56,13 @@ def test_rows_without_sql(spark, name):
             assert 0 <= d["dm_p"] <= d["q_value"] <= 1
 
 
+def test_every_valid_origin_and_step_counts(spark):
+    rows = queries.QUERIES["panel_intersection"](spark, SF).groupBy("series").count().collect()
+    got = Counter((r.series, r.horizon_step) for r in queries.QUERIES["ets_baseline"](spark, SF).collect())
+    assert got == {(r.series, h): r["count"] - 64 - 7 + 1 for r in rows for h in range(1, 8)}
+    assert {r.horizon_step for r in queries.QUERIES["conformal_full"](spark, SF).select("horizon_step").distinct().collect()} == set(range(1, 29))
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 

@@ -6,6 +6,7 @@ Prices come out with 4 digits, ratios and shares with 6, rounded the same way in
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import rounded
 from ..operators import covariates, events, forecast, origins, panel, score, significance, slices
-from ..schema import BASELINES, LEVELS, QUANTILES
+from ..schema import BASELINES, HORIZON, LEVELS, QUANTILES
 from ..sources import panels, vendor
 from . import grid
 
@@ -281,16 +282,30 @@ SELECT baseline_method, transform, make_positive, CAST(context_len AS BIGINT) AS
   {r('quantile_cont(rel, 0.5)', 6)} AS relative_mae_median, {r('sum(rel * n) / sum(n)', 6)} AS relative_mae_weighted FROM acc GROUP BY ALL"""
 
 
-@query(_grid_sql())
-def grid_backtest_leaderboard(spark, sf_dir):
+def _grid_board(spark, sf_dir, config):
     p = panels.market(spark, sf_dir)
-    rows = grid.run_grid(p, GRID, forecast.empirical_step)
+    rows = grid.run_grid(p, config, forecast.empirical_step)
     keys = ["transform", "make_positive", "context_len", "requested_horizon", "series"]
-    board = score.leaderboard(rows, score.mase_scales(p, 64), keys, GRID.baselines)
+    board = score.leaderboard(rows, score.mase_scales(p, 64), keys, config.baselines)
     out = score.aggregate_leaderboard(board, ["baseline_method", *keys[:-1]])
     return digits(out, 6, "relative_mae_median", "relative_mae_weighted").drop("skill_median", "skill_weighted")
 
 
+@query(_grid_sql())
+def grid_backtest_leaderboard(spark, sf_dir):
+    return _grid_board(spark, sf_dir, GRID)
+
+
+# Over all origins some drift forecasts fall below 0; positivity holds for forecasts only, as in backtest().
+_GRID_FULL_SQL = _grid_sql().replace("n - 7 - 199 AS start", "64 AS start").replace("(origin_index - start) % 5 = 0", "true").replace("greatest(baseline_drift, 0)", "baseline_drift")
+
+
+@query(_GRID_FULL_SQL)
+def grid_backtest_leaderboard_full(spark, sf_dir):
+    """The grid over all valid origins."""
+    return _grid_board(spark, sf_dir, replace(GRID, origin_stride=1, max_origins=None))
+
+
 # ---- backtests -------------------------------------------------------------------------------------------------------------
 
 _FACT = ["series", "origin_index", "origin_date", "target_index", "target_date", "horizon_step", "actual", "observed"]
@@ -337,22 +352,31 @@ def backtest_plugin(spark, sf_dir):
     return digits(rows.select("series", "origin_index", "horizon_step", "forecast", "q10", "q90"), 4, "forecast", "q10", "q90")
 
 
-@query(f"WITH {MARKET}, {backtest_sql('market', quantiles='level', horizon=3)} SELECT series, origin_index, horizon_step, {r('avg(forecast) OVER (PARTITION BY origin_index, horizon_step)', 4)} AS forecast FROM bt")
-def backtest_stacked_plugin(spark, sf_dir):
+def _stacked_plugin(spark, sf_dir, horizon):
     """A multivariate plug-in: every series is forecast by the mean of all last values."""
 
     def mean_of_panel(contexts, horizon):
         point = np.broadcast_to(contexts[:, :, -1:].mean(axis=1, keepdims=True), (*contexts.shape[:2], horizon))
         return point, point[..., None] + np.array(LEVELS)
 
-    rows = forecast.stacked_plugin_backtest(panels.market(spark, sf_dir), mean_of_panel, L, 3)
+    rows = forecast.stacked_plugin_backtest(panels.market(spark, sf_dir), mean_of_panel, L, horizon)
     return digits(rows.select("series", "origin_index", "horizon_step", "forecast"), 4, "forecast")
 
 
+@query(f"WITH {MARKET}, {backtest_sql('market', quantiles='level', horizon=3)} SELECT series, origin_index, horizon_step, {r('avg(forecast) OVER (PARTITION BY origin_index, horizon_step)', 4)} AS forecast FROM bt")
+def backtest_stacked_plugin(spark, sf_dir):
+    return _stacked_plugin(spark, sf_dir, 3)
+
+
+@query(f"WITH {MARKET}, {backtest_sql('market', quantiles='level', horizon=HORIZON)} SELECT series, origin_index, horizon_step, {r('avg(forecast) OVER (PARTITION BY origin_index, horizon_step)', 4)} AS forecast FROM bt")
+def backtest_stacked_plugin_full(spark, sf_dir):
+    return _stacked_plugin(spark, sf_dir, HORIZON)
+
+
 @query()
 def ets_baseline(spark, sf_dir):
     p = panels.market(spark, sf_dir)
-    return forecast.ets_baseline(p, L, H, season=SEASON, origins=origins.valid_origins(p, L, H, 100, 5))
+    return forecast.ets_baseline(p, L, H, season=SEASON, origins=origins.valid_origins(p, L, H))
 
 
 # ---- scores ----------------------------------------------------------------------------------------------------------------
@@ -540,14 +564,27 @@ t AS (SELECT *, coalesce(len(past), 0) AS cn, CASE WHEN coalesce(len(past), 0) >
 _SMALL_AT = f"WITH {ACTIVITY}, {backtest_sql('activity', horizon=2)}"
 
 
-def _conformal(spark, sf_dir):
-    rows = forecast.backtest(panels.activity(spark, sf_dir), forecast.empirical_step(L), L, 2, season=SEASON)
+_FULL_AT = f"WITH {ACTIVITY}, {backtest_sql('activity', horizon=HORIZON)}"
+
+
+def _conformal(spark, sf_dir, horizon=2):
+    rows = forecast.backtest(panels.activity(spark, sf_dir), forecast.empirical_step(L), L, horizon, season=SEASON)
     return significance.conformal(rows)
 
 
+def _conformal_rows(spark, sf_dir, horizon=2):
+    return digits(_conformal(spark, sf_dir, horizon).select("series", "origin_index", "horizon_step", "calibration_n", "threshold", "conformal_low", "conformal_high"), 4, "threshold", "conformal_low", "conformal_high")
+
+
 @query(f"{_SMALL_AT}, {_CONF} SELECT series, origin_index, horizon_step, cn AS calibration_n, {r('threshold', 4)} AS threshold, {r('q10 - threshold', 4)} AS conformal_low, {r('q90 + threshold', 4)} AS conformal_high FROM t")
 def conformal(spark, sf_dir):
-    return digits(_conformal(spark, sf_dir).select("series", "origin_index", "horizon_step", "calibration_n", "threshold", "conformal_low", "conformal_high"), 4, "threshold", "conformal_low", "conformal_high")
+    return _conformal_rows(spark, sf_dir)
+
+
+@query(SQL["conformal"].replace(_SMALL_AT, _FULL_AT))
+def conformal_full(spark, sf_dir):
+    """All steps of the full horizon."""
+    return _conformal_rows(spark, sf_dir, HORIZON)
 
 
 @query(f"""{_SMALL_AT}, {_CONF} SELECT series, horizon_step, count(threshold) AS n, count(*) - count(threshold) AS n_skipped,
@@ -557,6 +594,11 @@ def conformal_eval(spark, sf_dir):
     return digits(significance.conformal_summary(_conformal(spark, sf_dir), ["series", "horizon_step"]), 6, "coverage_raw", "coverage_conformal")
 
 
+@query(SQL["conformal_eval"].replace(_SMALL_AT, _FULL_AT))
+def conformal_eval_full(spark, sf_dir):
+    return digits(significance.conformal_summary(_conformal(spark, sf_dir, HORIZON), ["series", "horizon_step"]), 6, "coverage_raw", "coverage_conformal")
+
+
 # ---- events ------------------------------------------------------------------------------------------------------------------
 
 _SHOCKS = """r AS (SELECT series, idx, date, ln(value) - ln(lag(value) OVER (PARTITION BY series ORDER BY idx)) AS r FROM market), s AS (SELECT *, avg(r) OVER (PARTITION BY series) AS m, stddev_pop(r) OVER (PARTITION BY series) AS sd FROM r),
