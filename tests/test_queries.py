@@ -63,6 +63,12 @@ def test_every_valid_origin_and_step_counts(spark):
     assert {r.horizon_step for r in queries.QUERIES["conformal_full"](spark, SF).select("horizon_step").distinct().collect()} == set(range(1, 29))
 
 
+def test_every_supplier_is_priced(spark, con):
+    want = {r[0] for r in con.sql("SELECT DISTINCT 'supplier ' || l_suppkey FROM lineitem").fetchall()}
+    for name in ("entity_series_full", "entity_price_usage_full"):
+        assert {r.series for r in queries.QUERIES[name](spark, SF).select("series").distinct().collect()} == want and len(want) > 5
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 

@@ -186,12 +186,13 @@ cal AS (SELECT s.series, d.date FROM (SELECT DISTINCT series FROM pr) s CROSS JO
 fill AS (SELECT c.series, c.date, last_value(v IGNORE NULLS) OVER (PARTITION BY c.series ORDER BY c.date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS value, v IS NOT NULL AS observed FROM cal c LEFT JOIN pr ON pr.series = c.series AND pr.date = c.date)"""
 
 
-def _entity_series(spark, sf_dir):
+def _entity_series(spark, sf_dir, every=False):
     rows = panels.table(spark, sf_dir, "lineitem").select(
         F.date_trunc("day", "l_shipdate").cast("timestamp_ntz").alias("date"), F.col("l_suppkey").alias("product_id"), F.when(F.col("l_linestatus") == "F", "Normal").otherwise("Foil").alias("subtype"),
         F.when(F.col("l_discount") != 0, F.col("l_extendedprice")).alias("market"), (F.col("l_extendedprice") * 0.95).alias("mid"),
     )
-    entities = spark.range(1, 6).select(F.concat(F.lit("supplier "), "id").alias("label"), F.col("id").alias("product_id"))
+    ids = rows.where("product_id is not null").select(F.col("product_id").alias("id")).distinct() if every else spark.range(1, 6)
+    entities = ids.select(F.concat(F.lit("supplier "), "id").alias("label"), F.col("id").alias("product_id"))
     return vendor.entity_series(rows, entities, conflicts="null", unfilled="drop")
 
 
@@ -205,6 +206,17 @@ def entity_price_usage(spark, sf_dir):
     return _entity_series(spark, sf_dir)[1]
 
 
+@query(SQL["entity_series"].replace("l_suppkey BETWEEN 1 AND 5", "l_suppkey IS NOT NULL"))
+def entity_series_full(spark, sf_dir):
+    """Every supplier of lineitem."""
+    return digits(_entity_series(spark, sf_dir, every=True)[0].select("series", "date", "value", "observed", "idx"), 4, "value")
+
+
+@query(SQL["entity_price_usage"].replace("l_suppkey BETWEEN 1 AND 5", "l_suppkey IS NOT NULL"))
+def entity_price_usage_full(spark, sf_dir):
+    return _entity_series(spark, sf_dir, every=True)[1]
+
+
 # ---- origins -------------------------------------------------------------------------------------------------------------
 
 
