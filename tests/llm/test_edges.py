@@ -230,6 +230,23 @@ def test_toxicity(spark, docs, empty):
     assert blank.scores(["anything"]) == [0.5]
 
 
+def test_few_labels_set_the_bias_with_every_row(monkeypatch):
+    seen, cut = [], toxicity._cut
+
+    def recorded(logits, labels):
+        seen.append((len(logits), int(labels.sum())))
+        return cut(logits, labels)
+
+    monkeypatch.setattr(toxicity, "_cut", recorded)
+    rng = random.Random(5)
+    for n, want in ((120, [(120, 30)]), (400, [(100, 25)]), (24, [])):
+        labels = [int(i % 16 in (0, 5, 10, 15)) for i in range(n)]
+        texts = [" ".join(rng.choices(WORDS, k=20) + ["scum"] * y) for y in labels]
+        seen.clear()
+        toxicity.fit([(texts, labels)])
+        assert seen == want
+
+
 def test_labels_of_held_out_rows_do_not_matter(spark):
     rows = [(i, f"{'bad' if i % 2 else 'good'} word{i}") for i in range(300)]
     table = spark.createDataFrame(rows, SCHEMA)

@@ -132,11 +132,16 @@ def fit(rows: Iterable[tuple[list[str], list[int]]], bits: int = BITS, passes: i
         stops = np.searchsorted(pairs >> bits, np.arange(len(texts)), "right")
         docs += [np.append(d, size - 1) for d in np.split((pairs & ((1 << bits) - 1)).astype(np.int32), stops[:-1])] if texts else []
         labels += own
-    shift, y = 0.0, np.array(labels[::TUNED_EVERY])
-    if TUNED_LEAST <= y.sum() <= len(y) - TUNED_LEAST:
-        part = [i for i in range(len(docs)) if i % TUNED_EVERY]
-        w = _fitted([docs[i] for i in part], [labels[i] for i in part], size, passes)
-        shift = float(np.log(THRESHOLD / (1 - THRESHOLD))) - _cut(np.array([w[d].sum() for d in docs[::TUNED_EVERY]]), y)
+    shift, y = 0.0, np.array(labels)
+    if TUNED_LEAST <= y.sum() <= len(y) - TUNED_LEAST:  # fewer rank too few rows to set a cut
+        few = not TUNED_LEAST <= y[::TUNED_EVERY].sum() <= len(y[::TUNED_EVERY]) - TUNED_LEAST
+        logits = np.full(len(y), np.nan)
+        for fold in range(TUNED_EVERY if few else 1):  # with few labels each part is left out once, so that all of them set the cut
+            part = [i for i in range(len(docs)) if i % TUNED_EVERY != fold]
+            w = _fitted([docs[i] for i in part], [labels[i] for i in part], size, passes)
+            logits[fold::TUNED_EVERY] = [w[d].sum() for d in docs[fold::TUNED_EVERY]]
+        out = ~np.isnan(logits)
+        shift = float(np.log(THRESHOLD / (1 - THRESHOLD))) - _cut(logits[out], y[out])
     w = _fitted(docs, labels, size, passes)
     keep = np.flatnonzero(w[:-1])
     return Model(keep.astype(np.int32), w[keep].astype(np.float32), float(w[-1]) + shift, bits)
