@@ -13,10 +13,24 @@ from tideline.llm import exact_dedup, minhash, packing, shared, suffix_dedup, to
 from tideline.llm.tokens import vocabulary
 
 
+def beside(docs: DataFrame, *taken: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns of the names that an operator makes itself renamed, and how to name them back."""
+    own, back = {c.lower() for c in docs.columns}, {}
+    for c in docs.columns:
+        if c.lower() in taken:
+            new = f"own_{c}"
+            while new.lower() in own:
+                new += "_"
+            own.add(new.lower())
+            back[new] = c
+    return docs.withColumnsRenamed({c: new for new, c in back.items()}), back
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model does not reject."""
     model = toxicity.train(docs, shared.table(spark, sf_dir, "labels"), allowed=~toxicity.held_out())
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    rest, back = beside(docs, "score", "predicted")
+    return toxicity.score(rest, model).where("predicted = 0").select(*rest.columns).withColumnsRenamed(back)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +45,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that stand anywhere else too."""
-    cut = suffix_dedup.remove_repeats(docs, as_text=True).withColumnRenamed("kept", "text")
-    return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    rest, back = beside(docs, "kept", "removed")
+    cut = suffix_dedup.remove_repeats(rest, as_text=True).withColumnRenamed("kept", "text")
+    return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*rest.columns).withColumnsRenamed(back)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 from brute import bag, cut, near_classes, repeated_spans, repeated_words, text
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tideline.llm import bpe_trie, chat_format, exact_dedup, license_scan, minhash, packing, quality, shared, sstable, suffix_dedup, toxicity
 from tideline.llm.tokens import vocabulary
 
@@ -358,3 +359,12 @@ def test_native_plans(spark, docs):
 
 
 assert bag("") == {}
+
+
+def test_stages_keep_columns_of_clashing_names(spark, docs):
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"own {c}" for r in rows for c in EXTRA if c != "n_chars" or name != "suffix dedup"), name
+    assert corpus_pipeline.pack(spark, docs, "").count() > 0
