@@ -231,6 +231,12 @@ def test_toxicity(spark, docs, empty):
     assert blank.scores(["anything"]) == [0.5]
 
 
+def test_templates_that_blocks_cannot_hold_are_refused(empty):
+    assert license_scan.scan(empty, (("fits", " ".join(f"w{i}" for i in range(33))),)).count() == 0
+    with pytest.raises(ValueError, match="33 words: long"):
+        license_scan.scan(empty, (("long", " ".join(f"w{i}" for i in range(34))),))
+
+
 def test_few_labels_set_the_bias_with_every_row(monkeypatch):
     seen, cut = [], toxicity._cut
 

@@ -139,8 +139,12 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
     """One row a document: doc_id, n_words, places of the phrases, and every block that meets a template's threshold.
 
     A null or empty text has no words and no matches. Equal or null doc_ids are scanned row by row, repeated rows too; an
-    empty table gives no rows; further columns are left out.
+    empty table gives no rows; further columns are left out. A template of more than BLOCK - STEP + 1 words is refused, as
+    it need not lie whole in a block; a notice that insertions stretch beyond that can be missed at a block's edge.
     """
+    long = [label for label, t in templates if len(words_of(t)) > BLOCK - STEP + 1]
+    if long:
+        raise ValueError(f"templates of more than {BLOCK - STEP + 1} words: {', '.join(long)}")
     counts = template_counts(docs, templates, text_col)
     phrases = [(label, words_of(p)) for p, label in PHRASES]
 
