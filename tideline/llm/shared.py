@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Set while a table is written: shuffle files leave the disks as soon as the write has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where none is set (local runs and tests)."""
+    """The folder named by ``spark.checkpoint.dir``; one of our own only where none is set and all tasks run in this process (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if path is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tideline-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -23,21 +31,38 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tideline/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df`` written as zstd Parquet in the shared folder and read back: later steps survive the loss of any executor."""
+_made: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are stored inside go at the end."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            drop_path(spark, path)
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> tuple[DataFrame, str]:
+    """``df`` written as zstd Parquet in the shared folder and read back: later steps survive the loss of any executor.
+
+    With ``keep`` the table outlives the ``scratch`` that it is written in.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    free_shuffles(spark)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    if _made and not keep:
+        _made[-1].append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let the driver forget plans that have ended, so that their shuffle files leave the disks now, not at some later collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

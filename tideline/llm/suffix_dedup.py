@@ -1,36 +1,54 @@
-"""Removal of repeated byte passages by threshold-bounded interval expansion on a Burrows-Wheeler transform.
-
-A passage of LEAST bytes is named by its anchor, the GRAM-byte string in it with the least digest: equal passages have
-equal anchors at equal places. The occurrences of an anchor, ordered by what follows, are the anchor's
-interval in a suffix array of the corpus; with the bytes before them they are that part of its Burrows-Wheeler
-transform. All intervals are extended backwards breadth-first, a byte at a time: an interval splits by the
-byte before, keeps the order of what follows, and the common prefix of two neighbours is their common extension to
-the left, the anchor and what they share to the right. Extension stops as soon as that can reach LEAST no more, and
-where an occurrence is alone in its interval.
-
-Only the occurrences of anchors found more than once enter, in distinct contexts, so that copies of a text count
-once; anchors found very often are counted passage by passage.
+"""Removal of repeated passages by threshold-bounded interval expansion on a Burrows-Wheeler transform.
+
+A text is a sequence of symbols, its bytes or its words. A passage of ``least`` symbols is named by its anchor, the string of
+``gram`` symbols in it with the least digest: equal passages have equal anchors at equal places. The occurrences of an
+anchor, ordered by what follows, are the anchor's interval in a suffix array of the corpus; with the symbols before them they
+are that part of its Burrows-Wheeler transform. All intervals are extended backwards breadth-first, a symbol at a time: where
+each symbol's rows begin in its interval, and their rank there, give the rows of the longer strings. Common prefixes
+come by increasing value: first those of what follows, found symbol by symbol, then, at every extension, one more than
+the least of the rows between. Extension stops as soon as ``least`` can be reached no more, and where an occurrence is
+alone in its interval.
+
+Only the occurrences of anchors found in two contexts or more enter, once for each distinct context; an anchor whose
+contexts are all equal repeats throughout. Anchors found in very many contexts are counted passage by passage.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import drop_path, row_keys, stored, table
 
-LEAST, GRAM = 400, 32
+
+class Passage(NamedTuple):
+    """What counts as repeated: strings of ``least`` symbols, which are the text's bytes or its words; ``gram`` of them name one."""
+
+    least: int = 400
+    gram: int = 32
+    words: bool = False
+
+    @property
+    def width(self) -> int:
+        """Bytes that a symbol takes in what is stored of a context."""
+        return 8 if self.words else 1
+
+
+BYTES, WORDS = Passage(), Passage(50, 8, True)
 #: Anchors with more distinct contexts than this are not gathered in one task.
 HOT = 20_000
-#: Bytes worked on at once.
+#: Bytes, or symbols, worked on at once.
 CHUNK = 1_000_000
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _M = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -44,7 +62,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Digests of all substrings of a byte array: sums of byte * odd ** place modulo 2 ** 64."""
+    """Digests of all strings of symbols: sums of (symbol + 1) * odd ** place modulo 2 ** 64."""
 
     def __init__(self, data: np.ndarray, base: int) -> None:
         inverse = pow(base, -1, 1 << 64)
@@ -75,11 +93,40 @@ def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(data: np.ndarray, bounds: np.ndarray, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text, digest, place, first, last, context) of the anchors of texts laid end to end; bounds has where each begins, and the end.
+def words_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(from, to) of the words of texts laid end to end, and how many words stand before each of ``bounds``; no word crosses one."""
+    ink = ~_SPACE[data]
+    opens, shuts = ink.copy(), ink.copy()
+    opens[1:] &= ~ink[:-1]
+    shuts[:-1] &= ~ink[1:]
+    inner = bounds[(bounds > 0) & (bounds < len(data))]
+    opens[inner] = ink[inner]
+    shuts[inner - 1] = ink[inner - 1]
+    begin, end = np.flatnonzero(opens), np.flatnonzero(shuts) + 1
+    return begin, end, np.searchsorted(begin, bounds)
+
+
+def symbols(data: np.ndarray, bounds: np.ndarray, kind: Passage) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of texts laid end to end, bytes or digests of words, and their bounds."""
+    if not kind.words:
+        return data, bounds
+    begin, end, at = words_of(data, bounds)
+    out = np.zeros(len(begin), np.uint64)
+    k = 0
+    while k < len(begin):  # some CHUNK bytes at a time, so that a long text takes no more memory than several short ones
+        stop = max(k + 1, int(np.searchsorted(end, begin[k] + CHUNK, "right")))
+        low, high = begin[k], end[stop - 1]
+        with np.errstate(over="ignore"):
+            out[k:stop] = Rolling(data[low:high], 0x9FB21C651E98DF25).of(begin[k:stop] - low, end[k:stop] - low)
+        k = stop
+    return out, at
+
+
+def anchors(data: np.ndarray, bounds: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(text, digest, place, first, last, context) of the anchors of texts laid end to end, as symbols; bounds has where each begins, and the end.
 
     An anchor names the passages that begin at first to last: those in which nothing lies below its digest and no equal gram to
-    its right, so every passage has one anchor. context is a digest of all bytes of these passages and of the anchor's place in them.
+    its right, so every passage has one anchor. context is a digest of all symbols of these passages and of the anchor's place in them.
     """
     width = least - gram + 1
     sizes = np.diff(bounds)
@@ -129,72 +176,79 @@ def anchors(data: np.ndarray, bounds: np.ndarray, least: int = LEAST, gram: int
     return text, digest.view(np.int64), place - base, first - base, last - base, context.view(np.int64)
 
 
-def expand(group: np.ndarray, left: list[bytes], right: list[bytes], span: np.ndarray, copies: np.ndarray, least: int = LEAST, gram: int = GRAM) -> np.ndarray:
-    """Which passages around each occurrence of an anchor are repeated: (occurrence, bytes before the anchor) as a boolean matrix.
+def _matrix(parts: list[bytes], width: int, most: int) -> np.ndarray:
+    """Symbols of ``parts``, a row each, filled up with zeros."""
+    size = most * width
+    pad = bytes(size)
+    return np.frombuffer(b"".join([(x + pad)[:size] for x in parts]), "<u8" if width == 8 else np.uint8).reshape(len(parts), most)
 
-    group names the anchor, left and right are the bytes around it, span + 1 the passages that it names (the longest left
-    extension is all of left), copies how often the same context occurs. Occurrences with copies are repeated throughout.
+
+def expand(group: np.ndarray, before: list[bytes], after: list[bytes], span: np.ndarray, copies: np.ndarray, kind: Passage) -> np.ndarray:
+    """Which passages around each occurrence of an anchor are repeated: (occurrence, symbols before the anchor) as a boolean matrix.
+
+    group names the anchor, before (its last symbol last) and after are the symbols around it, span + 1 the passages that it names
+    (the longest extension is all of before), copies how often the same context occurs. Occurrences with copies are repeated throughout.
     """
-    m, most = len(group), least - gram
+    m, width = len(group), kind.width
+    most = kind.least - kind.gram
     hits = np.zeros((m, most + 1), bool)
-    amax = np.fromiter(map(len, left), np.int64, m)
+    amax = np.fromiter(map(len, before), np.int64, m) // width
     amin = amax - span
-    rlen = np.fromiter(map(len, right), np.int64, m)
-    again = np.flatnonzero(copies > 1)
-    for r in again:
+    rlen = np.fromiter(map(len, after), np.int64, m) // width
+    for r in np.flatnonzero(copies > 1):
         hits[r, amin[r] : amax[r] + 1] = True
-    pad = bytes(most)
-    rights = np.frombuffer(b"".join([(x + pad)[:most] for x in right]), np.uint8).reshape(m, most)
-    lefts = np.frombuffer(b"".join([(x[::-1] + pad)[:most] for x in left]), np.uint8).reshape(m, most)  # the byte before first
-    key = np.empty((m, most + 4), np.uint8)
+    rights = _matrix(after, width, most)
+    if width == 1:
+        lefts = _matrix([x[::-1] for x in before], 1, most)  # the symbol before the anchor first
+        coded, sigma = rights, 256
+    else:
+        lefts = _matrix([np.frombuffer(x, "<u8")[::-1].tobytes() for x in before], width, most)
+        known, code = np.unique(np.stack([rights, lefts]), return_inverse=True)
+        rights, lefts = code.reshape(2, m, most).astype(np.int32)
+        coded, sigma = rights.astype(">u4"), len(known)
+    size = most * coded.dtype.itemsize
+    key = np.empty((m, size + 4), np.uint8)
     key[:, :4] = np.unique(group, return_inverse=True)[1].astype(">u4").view(np.uint8).reshape(m, 4)
-    key[:, 4:] = rights
-    rows = np.argsort(key.view(f"S{most + 4}").ravel(), kind="stable")  # the suffix array's order
-
-    def common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        out = np.empty(len(x), np.int64)
-        for k in range(0, len(x), 16384):
-            differ = rights[x[k : k + 16384]] != rights[y[k : k + 16384]]
-            n = differ.argmax(axis=1)
-            n[~differ[np.arange(len(n)), n]] = most
-            out[k : k + 16384] = n
-        return np.minimum(out, np.minimum(rlen[x], rlen[y]))
-
-    inner = np.append(False, group[rows[1:]] == group[rows[:-1]])  # in one interval with the row before
-    lcp = np.full(m, -1, np.int64)
-    at = np.flatnonzero(inner)
-    lcp[at] = common(rows[at - 1], rows[at])
-    for a in range(most + 1):
+    key[:, 4:] = np.ascontiguousarray(coded).view(np.uint8).reshape(m, size)
+    rows = np.argsort(key.view(f"S{size + 4}").ravel(), kind="stable")  # the suffix array's order
+    # Common prefixes of what follows, of neighbours in one interval, by increasing value.
+    inner = np.append(False, group[rows[1:]] == group[rows[:-1]])
+    lcp = np.where(inner, most, -1)
+    rest = np.flatnonzero(inner)
+    stop = np.minimum(rlen[rows[rest]], rlen[rows[rest - 1]])
+    for n, column in enumerate(np.ascontiguousarray(rights.T)):
+        if not len(rest):
+            break
+        parted = (column[rows[rest]] != column[rows[rest - 1]]) | (stop <= n)
+        lcp[rest[parted]] = n
+        rest, stop = rest[~parted], stop[~parted]
+    for a, column in enumerate([*np.ascontiguousarray(lefts.T), None]):
         best = lcp.copy()
         best[:-1] = np.maximum(best[:-1], np.where(inner[1:], lcp[1:], -1))
-        own = amax[rows]
         hit = (best >= most - a) & (amin[rows] <= a)
         hits[rows[hit], a] = True
         # Rows stay whose left side goes on, and that could still reach the least length.
-        stay = (own > a) & (own + best >= most)
-        if not stay.all():
-            # Of what stays, neighbours share the least of the prefixes between them.
-            kept = np.flatnonzero(stay)
-            if not len(kept):
-                break
-            interval = np.cumsum(~inner)
-            low = np.minimum.reduceat(lcp[: kept[-1] + 1], np.append(0, kept[:-1] + 1))
-            rows, interval = rows[kept], interval[kept]
-            inner = np.append(False, interval[1:] == interval[:-1])
-            lcp = np.where(inner, low, -1)
-        char = lefts[rows, a]
-        if (inner[1:] & (char[1:] != char[:-1])).any():
-            interval = np.cumsum(~inner)
-            order = np.argsort(interval * 256 + char, kind="stable")
-            rows, interval, char = rows[order], interval[order], char[order]
-            inner = np.append(False, (interval[1:] == interval[:-1]) & (char[1:] == char[:-1]))
-            near = np.append(False, order[1:] == order[:-1] + 1)
-            lcp = np.where(inner & near, lcp[order], -1)
-            far = np.flatnonzero(inner & ~near)
-            lcp[far] = common(rows[far - 1], rows[far])
-        alone = ~inner & ~np.append(inner[1:], False)
-        if alone.any():
-            rows, inner, lcp = rows[~alone], inner[~alone], lcp[~alone]
+        kept = np.flatnonzero((amax[rows] > a) & (amax[rows] + best >= most))
+        if not len(kept):
+            break
+        # They go to where their symbol's rows begin in the interval, plus their rank among these.
+        interval = np.cumsum(~inner)[kept]
+        symbol = column[rows[kept]].astype(np.int64)
+        order = np.argsort(interval * sigma + symbol, kind="stable")
+        old = kept[order]
+        inner = np.append(False, (interval[order[1:]] == interval[order[:-1]]) & (symbol[order[1:]] == symbol[order[:-1]]))
+        # The common prefix of new neighbours is the least of those between them, and the symbol put before it.
+        near = old[1:] == old[:-1] + 1
+        low = np.full(len(old), -1)
+        low[1:][near] = lcp[old[1:][near]]
+        far = np.flatnonzero(inner[1:] & ~near) + 1
+        if len(far):
+            low[far] = np.minimum.reduceat(np.append(lcp, most), np.stack([old[far - 1] + 1, old[far] + 1], 1).ravel())[::2]
+        lcp = np.where(inner, low, -1)
+        rows = rows[kept][order]
+        among = inner | np.append(inner[1:], False)  # others are alone in their interval
+        if not among.all():
+            rows, inner, lcp = rows[among], inner[among], lcp[among]
         if not len(rows):
             break
     return hits
@@ -219,38 +273,45 @@ def _buffers(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
 _ANCHOR = "k1 bigint, k2 bigint, digest bigint, place int, first int, last int, context bigint"
 
 
-def _find(least: int, gram: int):
+def _find(kind: Passage):
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, _, data, bounds in _buffers(batch.column(2)):
-                text, digest, place, first, last, context = anchors(data, bounds, least, gram)
-                rows = pa.array(text + begin)
-                columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(digest), *(pa.array(x.astype(np.int32)) for x in (place, first, last)), pa.array(context)]
-                yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "digest", "place", "first", "last", "context"])
+                sequence, at = symbols(data, bounds, kind)
+                # Of a long text, the passages that begin in some CHUNK symbols at a time.
+                long = len(at) == 2 and len(sequence) > CHUNK + kind.least
+                for low in range(0, len(sequence) - kind.least + 1, CHUNK) if long else (0,):
+                    part = sequence[low : low + CHUNK + kind.least - 1] if long else sequence
+                    text, digest, place, first, last, context = anchors(part, np.array([0, len(part)]) if long else at, kind.least, kind.gram)
+                    rows = pa.array(text + begin)
+                    columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(digest), *(pa.array((x + low).astype(np.int32)) for x in (place, first, last)), pa.array(context)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "digest", "place", "first", "last", "context"])
 
     return partition
 
 
-_CONTEXT = "digest bigint, context bigint, copies bigint, place int, span int, bytes binary"
+_CONTEXT = "digest bigint, context bigint, copies bigint, n bigint, place int, span int, bytes binary"
 
 
-def _cut_contexts(least: int):
-    """Rows (text, wanted: list of anchors) to the bytes of each wanted anchor's passages."""
+def _cut_contexts(kind: Passage):
+    """Rows (text, wanted: list of anchors) to the symbols of each wanted anchor's passages."""
 
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, len(batch), 256):
-                part = batch.slice(k, 256)
-                texts = _large(pa.compute.fill_null(part.column(0), "")).to_pylist()
-                wanted = part.column(1)
+            for begin, end, data, bounds in _buffers(batch.column(0)):
+                sequence, at = symbols(data, bounds, kind)
+                raw, width = memoryview(np.ascontiguousarray(sequence)).cast("B"), kind.width
+                wanted = batch.column(1).slice(begin, end - begin)
                 counts = np.diff(wanted.offsets.to_numpy())
                 flat = wanted.flatten()
-                digest, context, copies, place, first, last = (flat.field(i) for i in range(6))
-                f, e = first.to_numpy().astype(np.int64), last.to_numpy().astype(np.int64) + least
-                doc = np.repeat(np.arange(len(texts)), counts)
-                cut = [texts[d][a:b] for d, a, b in zip(doc.tolist(), f.tolist(), e.tolist(), strict=True)]
-                columns = [digest, context, copies, pa.array((place.to_numpy() - f).astype(np.int32)), pa.array((e - least - f).astype(np.int32)), pa.array(cut, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["digest", "context", "copies", "place", "span", "bytes"])
+                for k in range(0, len(flat), 4096):
+                    digest, context, copies, place, first, last, contexts = (flat.slice(k, 4096).field(i) for i in range(7))
+                    base = np.repeat(at[:-1], counts)[k : k + 4096]
+                    f = first.to_numpy().astype(np.int64)
+                    size = last.to_numpy() - f + kind.least
+                    cut = [bytes(raw[a:b]) for a, b in zip(((base + f) * width).tolist(), ((base + f + size) * width).tolist(), strict=True)]
+                    columns = [digest, context, copies, contexts, pa.array((place.to_numpy() - f).astype(np.int32)), pa.array((size - kind.least).astype(np.int32)), pa.array(cut, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["digest", "context", "copies", "n", "place", "span", "bytes"])
 
     return partition
 
@@ -259,7 +320,7 @@ _STARTS = "digest bigint, context bigint, starts array<struct<lo:int,hi:int>>"
 _RANGE = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
 
-def _expanded(least: int, gram: int):
+def _expanded(kind: Passage):
     """Contexts sorted by digest to the passages in them that are repeated, as ranges of starts from the first passage on."""
 
     def work(rows: pa.Table) -> pa.RecordBatch:
@@ -270,7 +331,8 @@ def _expanded(least: int, gram: int):
         copies, place, span = (rows.column(c).to_numpy().astype(np.int64) for c in ("copies", "place", "span"))
         data = rows.column("bytes").to_pylist()
         at = place.tolist()
-        hits = expand(digest, [b[:p] for b, p in zip(data, at, strict=True)], [b[p + gram :] for b, p in zip(data, at, strict=True)], span, copies, least, gram)
+        width, gram = kind.width, kind.gram
+        hits = expand(digest, [b[: p * width] for b, p in zip(data, at, strict=True)], [b[(p + gram) * width :] for b, p in zip(data, at, strict=True)], span, copies, kind)
         edge = np.diff(hits.astype(np.int8), axis=1, prepend=0, append=0)
         row, begin = np.nonzero(edge == 1)
         _, end = np.nonzero(edge == -1)
@@ -303,19 +365,20 @@ def _expanded(least: int, gram: int):
 _PASSAGE = "digest bigint, context bigint, copies bigint, start int, w1 bigint, w2 bigint"
 
 
-def _passages(least: int):
+def _passages(kind: Passage):
     """Contexts of an anchor found very often to their passages, each with two digests."""
 
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digest, context, copies, span, data = (batch.column(i) for i in (0, 1, 2, 4, 5))
+            digest, context, copies, span, data = (batch.column(c) for c in ("digest", "context", "copies", "span", "bytes"))
             n = span.to_numpy().astype(np.int64) + 1
             for k in range(0, len(batch), 512):
                 w = [[], []]
                 for b in data.slice(k, 512).to_pylist():
-                    raw = np.frombuffer(b, np.uint8)
+                    raw = np.frombuffer(b, "<u8" if kind.words else np.uint8)
                     for out, base in zip(w, (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D), strict=True):
-                        out.append(Rolling(raw, base).fixed(least))
+                        with np.errstate(over="ignore"):
+                            out.append(Rolling(raw, base).fixed(kind.least))
                 own = n[k : k + 512]
                 rows = pa.array(np.repeat(np.arange(k, k + len(own)), own))
                 start = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
@@ -325,102 +388,126 @@ def _passages(least: int):
     return partition
 
 
-def _cutter(text_at: int, spans_at: int, as_text: bool):
-    """Adds kept, removed (array of from, to) to rows with a text and a list of (from, to), not merged."""
+_RUNS = pa.list_(pa.struct([("f", pa.int32()), ("t", pa.int32())]))
+
+
+def _runs(data: bytes, spans: list[dict] | None, kind: Passage) -> list[dict]:
+    """Spans of symbols, in any order, to maximal runs as places of bytes."""
+    runs: list[list[int]] = []
+    for f, t in sorted((x["f"], x["t"]) for x in spans or ()):
+        if runs and f <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], t)
+        else:
+            runs.append([f, t])
+    if kind.words and runs:
+        begin, end, _ = words_of(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        runs = [[int(begin[f]), int(end[t - 1])] for f, t in runs]
+    return [{"f": f, "t": t} for f, t in runs]
+
+
+def _cutter(text_at: int, taken: list[tuple[int, Passage]], as_text: bool):
+    """Rows with a text and lists of spans: the runs of each list in its place, and what is left of the text without the first list's."""
 
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, len(batch), 256):
                 part = batch.slice(k, 256)
                 texts = _large(pa.compute.fill_null(part.column(text_at), "")).to_pylist()
-                kept, removed = [], []
-                for data, spans in zip(texts, part.column(spans_at).to_pylist(), strict=True):
-                    runs: list[list[int]] = []
-                    for s in sorted((x["f"], x["t"]) for x in spans or ()):
-                        if runs and s[0] <= runs[-1][1]:
-                            runs[-1][1] = max(runs[-1][1], s[1])
-                        else:
-                            runs.append(list(s))
-                    at, out = 0, []
-                    for f, t in runs:
-                        out.append(data[at:f])
-                        at = t
-                    out.append(data[at:])
-                    kept.append(b"".join(out).decode("utf-8", "ignore") if as_text else b"".join(out))
-                    removed.append([{"f": f, "t": t} for f, t in runs])
-                columns = [c for i, c in enumerate(part.columns) if i not in (text_at, spans_at)]
-                names = [x for i, x in enumerate(part.schema.names) if i not in (text_at, spans_at)]
-                kind = pa.list_(pa.struct([("f", pa.int32()), ("t", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(removed, kind)], names=[*names, "kept", "removed"])
+                columns = dict(enumerate(part.columns))
+                for i, kind in taken:
+                    columns[i] = pa.array([_runs(data, spans, kind) for data, spans in zip(texts, part.column(i).to_pylist(), strict=True)], _RUNS)
+                kept = []
+                for data, runs in zip(texts, columns[taken[0][0]].to_pylist(), strict=True):
+                    edges = [0, *(x for r in runs for x in (r["f"], r["t"])), len(data)]
+                    left = b"".join([data[f:t] for f, t in zip(edges[::2], edges[1::2], strict=True)])
+                    kept.append(left.decode("utf-8", "ignore") if as_text else left)
+                columns[text_at] = pa.array(kept, pa.string() if as_text else pa.binary())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=part.schema.names)
 
     return partition
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", least: int = LEAST, gram: int = GRAM, hot: int = HOT, as_text: bool = False) -> DataFrame:
+def spans_of(keyed: DataFrame, text_col: str, kind: Passage, hot: int = HOT) -> DataFrame:
+    """(k1, k2, spans) of the rows of ``keyed`` (named by k1, k2) that have repeated passages: (f, t) in symbols, not merged."""
+    spark, least = keyed.sparkSession, kind.least
+    texts = keyed.select("k1", "k2", F.col(text_col).alias("text"))
+    found, path1 = stored(texts.mapInArrow(_find(kind), _ANCHOR), "anchors")
+    # Written first: a join of two plain exchanges can be split where one digest has very many rows.
+    often, path0 = stored(found.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "often")
+    repeated, path2 = stored(found.join(often, "digest"), "repeated")
+    drop_path(spark, path0)
+    drop_path(spark, path1)
+    one = F.min(F.struct("k1", "k2", "place", "first", "last")).alias("one")
+    grouped, path0 = stored(repeated.groupBy("digest", "context").agg(F.count("*").alias("copies"), one), "grouped")
+    sizes, path1 = stored(grouped.groupBy("digest").agg(F.count("*").alias("n")), "sizes")
+    contexts, path3 = stored(grouped.join(sizes, "digest").select("digest", "context", "copies", "n", "one.*"), "contexts")
+    drop_path(spark, path0)
+    drop_path(spark, path1)
+    # The only context of an anchor stands in two places or more, so all its passages are repeated.
+    whole = contexts.where("n = 1").select("digest", "context", F.array(F.struct(F.lit(0).alias("lo"), (F.col("last") - F.col("first")).alias("hi"))).alias("starts"))
+    wanted = contexts.where("n > 1").groupBy("k1", "k2").agg(F.collect_list(F.struct("digest", "context", "copies", "place", "first", "last", "n")).alias("wanted"))
+    cut, path4 = stored(texts.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(_cut_contexts(kind), _CONTEXT), "cut")
+    cool = cut.where(F.col("n") <= hot).drop("n").repartition("digest").sortWithinPartitions("digest")
+    starts, path5 = stored(cool.mapInArrow(_expanded(kind), _STARTS), "starts")
+    starts = starts.unionByName(whole)
+    passages, path6 = stored(cut.where(F.col("n") > hot).mapInArrow(_passages(kind), _PASSAGE).dropDuplicates(["digest", "context", "start"]), "passages")
+    drop_path(spark, path4)
+    twice = passages.groupBy("w1", "w2").agg(F.sum("copies").alias("n")).where("n > 1").select("w1", "w2")
+    own = passages.join(twice, ["w1", "w2"]).groupBy("digest", "context").agg(F.collect_list(F.struct(F.col("start").alias("lo"), F.col("start").alias("hi"))).alias("starts"))
+    counted, path7 = stored(own, "counted")
+    drop_path(spark, path6)
+    spans = repeated.join(starts.unionByName(counted), ["digest", "context"]).select("k1", "k2", "first", F.explode("starts").alias("s"))
+    spans = spans.select("k1", "k2", F.struct((F.col("first") + F.col("s.lo")).alias("f"), (F.col("first") + F.col("s.hi") + least).alias("t")).alias("span"))
+    spans, _ = stored(spans.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans")), "spans")
+    for path in (path2, path3, path5, path7):
+        drop_path(spark, path)
+    return spans
+
+
+def remove_repeats(docs: DataFrame, text_col: str = "text", kind: Passage = BYTES, mark: dict[str, Passage] | None = None, hot: int = HOT, as_text: bool = False) -> DataFrame:
     """``docs`` with kept (binary) and removed (array of (f, t), bytes from f to before t, maximal runs) in place of the text.
 
-    With ``as_text`` kept is a string; bytes of characters that a cut has split are left out of it.
+    With ``as_text`` kept is a string; bytes of characters that a cut has split are left out of it. ``mark`` names further
+    columns like removed, of passages of other kinds, which are found but not cut out.
 
-    Every byte is removed that lies in a string of ``least`` bytes (of the text as UTF-8) that begins anywhere else too, in the same text
+    Every byte is removed that lies in a string of ``kind.least`` symbols (bytes of the text as UTF-8, or words between ASCII white
+    space with what parts them) that begins anywhere else too, in the same text
     or another; strings do not cross texts and are judged on the input. Overlapping occurrences count. A null text is empty; texts shorter
-    than ``least`` stay whole; of equal texts nothing is left that is long enough. Repeated rows count as texts of their own. An empty
-    table gives no rows. Columns named kept or removed are replaced, all others pass through.
+    than that stay whole; of equal texts nothing is left that is long enough. Repeated rows count as texts of their own. An empty
+    table gives no rows. Columns named kept, removed or as in ``mark`` are replaced, all others pass through.
     """
-    spark = docs.sparkSession
-    docs = docs.drop("kept", "removed")
+    kinds = {"removed": kind, **(mark or {})}
+    docs = docs.drop("kept", *kinds)
     names = [f"c{i}" for i, c in enumerate(docs.columns)]  # own names: a column of docs may have any
     text = names[docs.columns.index(text_col)]
     plain = docs.toDF(*names)
     # Rows are named by all of their content, so that only equal rows share a name.
-    keyed = plain.select(*row_keys(*(F.col(n) for n in names)), "*")
-    found, path1 = stored(keyed.select("k1", "k2", text).mapInArrow(_find(least, gram), _ANCHOR), "anchors")
-    # Written first: a join of two plain exchanges can be split where one digest has very many rows.
-    often, path0 = stored(found.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "often")
-    repeated, path2 = stored(found.join(often, "digest"), "repeated")
-    drop_path(spark, path0)
-    drop_path(spark, path1)
-    one = F.min(F.struct("k1", "k2", "place", "first", "last")).alias("one")
-    contexts = repeated.groupBy("digest", "context").agg(F.count("*").alias("copies"), one)
-    sizes = contexts.groupBy("digest").agg(F.count("*").alias("n"))
-    contexts = contexts.join(sizes, "digest").select("digest", "context", "copies", "n", "one.*")
-    contexts, path3 = stored(contexts, "contexts")
-
-    def bytes_of(own: DataFrame) -> DataFrame:
-        wanted = own.groupBy("k1", "k2").agg(F.collect_list(F.struct("digest", "context", "copies", "place", "first", "last")).alias("wanted"))
-        return keyed.select("k1", "k2", F.col(text).alias("text")).join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(_cut_contexts(least), _CONTEXT)
-
-    cool = bytes_of(contexts.where(F.col("n") <= hot)).repartition("digest").sortWithinPartitions("digest")
-    starts, path4 = stored(cool.mapInArrow(_expanded(least, gram), _STARTS), "starts")
-    if contexts.where(F.col("n") > hot).limit(1).count():
-        passages, path5 = stored(bytes_of(contexts.where(F.col("n") > hot)).mapInArrow(_passages(least), _PASSAGE).dropDuplicates(["digest", "context", "start"]), "passages")
-        twice = passages.groupBy("w1", "w2").agg(F.sum("copies").alias("n")).where("n > 1").select("w1", "w2")
-        own = passages.join(twice, ["w1", "w2"]).groupBy("digest", "context").agg(F.collect_list(F.struct(F.col("start").alias("lo"), F.col("start").alias("hi"))).alias("starts"))
-        starts = starts.unionByName(stored(own, "starts")[0])
-        drop_path(spark, path5)
-    drop_path(spark, path3)
-    spans = repeated.join(starts, ["digest", "context"]).select("k1", "k2", "first", F.explode("starts").alias("s"))
-    spans = spans.select("k1", "k2", F.struct((F.col("first") + F.col("s.lo")).alias("f"), (F.col("first") + F.col("s.hi") + least).alias("t")).alias("span"))
-    spans, _ = stored(spans.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans")), "spans")
-    drop_path(spark, path2)
-    drop_path(spark, path4)
-    rows = keyed.join(spans, ["k1", "k2"], "left").select(*names, "spans")
-    others = [n for n in names if n != text]
-    schema = T.StructType([*(plain.schema[n] for n in others), T.StructField("kept", T.StringType() if as_text else T.BinaryType()), *_REMOVED.fields])
-    cut = rows.mapInArrow(_cutter(names.index(text), len(names), as_text), schema)
-    back = dict(zip(names, docs.columns, strict=True))
-    return cut.select(*(F.col(n).alias(back[n]) for n in others), "kept", "removed")
+    rows = keyed = plain.select(*row_keys(*(F.col(n) for n in names)), "*")
+    for i, own in enumerate(kinds.values()):
+        rows = rows.join(spans_of(keyed, text, own, hot).withColumnRenamed("spans", f"s{i}"), ["k1", "k2"], "left")
+    rows = rows.select(*names, *(f"s{i}" for i in range(len(kinds))))
+    runs = T.ArrayType(T.StructType([T.StructField("f", T.IntegerType()), T.StructField("t", T.IntegerType())]))
+    schema = T.StructType([T.StructField(f.name, T.StringType() if as_text else T.BinaryType()) if f.name == text else f for f in plain.schema])
+    schema = T.StructType([*schema, *(T.StructField(f"s{i}", runs) for i in range(len(kinds)))])
+    cut = rows.mapInArrow(_cutter(names.index(text), [(len(names) + i, own) for i, own in enumerate(kinds.values())], as_text), schema)
+    back = [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True) if n != text]
+    return cut.select(*back, F.col(text).alias("kept"), *(F.col(f"s{i}").alias(c) for i, c in enumerate(kinds)))
 
 
-_REMOVED = T.StructType([T.StructField("removed", T.ArrayType(T.StructType([T.StructField("f", T.IntegerType()), T.StructField("t", T.IntegerType())])))])
+def covered(runs: str) -> Column:
+    """Bytes in a column of runs."""
+    return F.aggregate(runs, F.lit(0).cast("bigint"), lambda n, r: n + r["t"] - r["f"])
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, r: n + r["t"] - r["f"])
+    """The contract's columns follow 400 bytes; n_passages and passage_bytes tell of runs of 50 words or more that stand elsewhere too, which may be shorter."""
+    cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), mark={"passages": WORDS})
     return cut.select(
         "doc_id",
-        (F.octet_length("kept") + removed).cast("bigint").alias("n_bytes"),
-        removed.alias("n_removed"),
+        (F.octet_length("kept") + covered("removed")).cast("bigint").alias("n_bytes"),
+        covered("removed").alias("n_removed"),
         F.size("removed").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        F.size("passages").cast("bigint").alias("n_passages"),
+        covered("passages").alias("passage_bytes"),
     )
