@@ -60,12 +60,12 @@ def test_every_valid_origin_and_step_counts(spark):
     rows = queries.QUERIES["panel_intersection"](spark, SF).groupBy("series").count().collect()
     got = Counter((r.series, r.horizon_step) for r in queries.QUERIES["ets_baseline"](spark, SF).collect())
     assert got == {(r.series, h): r["count"] - 64 - 7 + 1 for r in rows for h in range(1, 8)}
-    assert {r.horizon_step for r in queries.QUERIES["conformal_full"](spark, SF).select("horizon_step").distinct().collect()} == set(range(1, 29))
+    assert {r.horizon_step for r in queries.QUERIES["conformal"](spark, SF).select("horizon_step").distinct().collect()} == set(range(1, 29))
 
 
 def test_every_supplier_is_priced(spark, con):
     want = {r[0] for r in con.sql("SELECT DISTINCT 'supplier ' || l_suppkey FROM lineitem").fetchall()}
-    for name in ("entity_series_full", "entity_price_usage_full"):
+    for name in ("entity_series", "entity_price_usage"):
         assert {r.series for r in queries.QUERIES[name](spark, SF).select("series").distinct().collect()} == want and len(want) > 5
 
 

@@ -178,7 +178,7 @@ def entity_resolution(spark, sf_dir):
 
 
 _ENTITY = """raw AS (SELECT CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS date, 'supplier ' || l_suppkey AS series, CASE WHEN l_discount <> 0 THEN l_extendedprice END AS market, l_extendedprice * 0.95 AS mid,
-  l_linestatus = 'F' AS good FROM lineitem WHERE l_suppkey BETWEEN 1 AND 5),
+  l_linestatus = 'F' AS good FROM lineitem WHERE l_suppkey IS NOT NULL),
 g AS (SELECT series, date, count(*) AS n, count(*) FILTER (WHERE good) AS ng, max(market) AS m1, max(mid) AS d1, max(CASE WHEN good THEN market END) AS m2, max(CASE WHEN good THEN mid END) AS d2 FROM raw GROUP BY ALL),
 one AS (SELECT series, date, CASE WHEN n = 1 THEN m1 WHEN ng = 1 THEN m2 END AS market, CASE WHEN n = 1 THEN d1 WHEN ng = 1 THEN d2 END AS mid FROM g),
 pr AS (SELECT series, date, coalesce(market, mid) AS v, CASE WHEN market IS NOT NULL THEN 'market' WHEN mid IS NOT NULL THEN 'mid' END AS used FROM one),
@@ -186,12 +186,13 @@ cal AS (SELECT s.series, d.date FROM (SELECT DISTINCT series FROM pr) s CROSS JO
 fill AS (SELECT c.series, c.date, last_value(v IGNORE NULLS) OVER (PARTITION BY c.series ORDER BY c.date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS value, v IS NOT NULL AS observed FROM cal c LEFT JOIN pr ON pr.series = c.series AND pr.date = c.date)"""
 
 
-def _entity_series(spark, sf_dir, every=False):
+def _entity_series(spark, sf_dir):
+    """Every supplier of lineitem."""
     rows = panels.table(spark, sf_dir, "lineitem").select(
         F.date_trunc("day", "l_shipdate").cast("timestamp_ntz").alias("date"), F.col("l_suppkey").alias("product_id"), F.when(F.col("l_linestatus") == "F", "Normal").otherwise("Foil").alias("subtype"),
         F.when(F.col("l_discount") != 0, F.col("l_extendedprice")).alias("market"), (F.col("l_extendedprice") * 0.95).alias("mid"),
     )
-    ids = rows.where("product_id is not null").select(F.col("product_id").alias("id")).distinct() if every else spark.range(1, 6)
+    ids = rows.where("product_id is not null").select(F.col("product_id").alias("id")).distinct()
     entities = ids.select(F.concat(F.lit("supplier "), "id").alias("label"), F.col("id").alias("product_id"))
     return vendor.entity_series(rows, entities, conflicts="null", unfilled="drop")
 
@@ -206,17 +207,6 @@ def entity_price_usage(spark, sf_dir):
     return _entity_series(spark, sf_dir)[1]
 
 
-@query(SQL["entity_series"].replace("l_suppkey BETWEEN 1 AND 5", "l_suppkey IS NOT NULL"))
-def entity_series_full(spark, sf_dir):
-    """Every supplier of lineitem."""
-    return digits(_entity_series(spark, sf_dir, every=True)[0].select("series", "date", "value", "observed", "idx"), 4, "value")
-
-
-@query(SQL["entity_price_usage"].replace("l_suppkey BETWEEN 1 AND 5", "l_suppkey IS NOT NULL"))
-def entity_price_usage_full(spark, sf_dir):
-    return _entity_series(spark, sf_dir, every=True)[1]
-
-
 # ---- origins -------------------------------------------------------------------------------------------------------------
 
 
@@ -279,15 +269,15 @@ def _grid_sql() -> str:
             name = f"b{context}{transform[:1]}"
             parts.append(backtest_sql("market", context, 7, None, "step", transform, name))
             for positive in (False, True):
-                cut = (lambda x: f"greatest({x}, 0)") if positive else (lambda x: x)  # prices are above 0, so every context is
+                cut = (lambda x: f"greatest({x}, 0)") if positive else (lambda x: x)  # prices are above 0, so every context is; drift baselines may fall below
                 for h in (1, 7):
                     rows.append(
                         f"SELECT '{transform}' AS transform, {positive} AS make_positive, {context} AS context_len, {h} AS requested_horizon, series, origin_index, horizon_step, actual, "
-                        f"{cut('forecast')} AS forecast, {cut('baseline_naive')} AS naive, {cut('baseline_drift')} AS drift FROM {name} WHERE horizon_step <= {h}"
+                        f"{cut('forecast')} AS forecast, {cut('baseline_naive')} AS naive, baseline_drift AS drift FROM {name} WHERE horizon_step <= {h}"
                     )
-    keep = "n7 AS (SELECT series, count(*) AS n FROM market GROUP BY series), ok AS (SELECT series, n - 7 - 199 AS start, n - 7 AS stop FROM n7)"
+    keep = "ok AS (SELECT series, 64 AS start, count(*) - 7 AS stop FROM market GROUP BY series)"
     return f"""WITH {MARKET}, {', '.join(parts)}, {keep}, u AS ({' UNION ALL '.join(rows)}),
-k AS (SELECT u.* FROM u JOIN ok USING (series) WHERE origin_index >= start AND origin_index <= stop AND (origin_index - start) % 5 = 0),
+k AS (SELECT u.* FROM u JOIN ok USING (series) WHERE origin_index >= start AND origin_index <= stop),
 long AS (SELECT *, 'naive' AS baseline_method, naive AS b FROM k UNION ALL SELECT *, 'drift', drift FROM k),
 acc AS (SELECT baseline_method, transform, make_positive, context_len, requested_horizon, series, count(*) AS n, avg(abs(actual - forecast)) / avg(abs(actual - b)) AS rel FROM long GROUP BY ALL)
 SELECT baseline_method, transform, make_positive, CAST(context_len AS BIGINT) AS context_len, CAST(requested_horizon AS BIGINT) AS requested_horizon, count(DISTINCT series) AS n_cards,
@@ -305,16 +295,7 @@ def _grid_board(spark, sf_dir, config):
 
 @query(_grid_sql())
 def grid_backtest_leaderboard(spark, sf_dir):
-    return _grid_board(spark, sf_dir, GRID)
-
-
-# Over all origins some drift forecasts fall below 0; positivity holds for forecasts only, as in backtest().
-_GRID_FULL_SQL = _grid_sql().replace("n - 7 - 199 AS start", "64 AS start").replace("(origin_index - start) % 5 = 0", "true").replace("greatest(baseline_drift, 0)", "baseline_drift")
-
-
-@query(_GRID_FULL_SQL)
-def grid_backtest_leaderboard_full(spark, sf_dir):
-    """The grid over all valid origins."""
+    """The grid over all valid origins; positivity holds for forecasts only, as in backtest()."""
     return _grid_board(spark, sf_dir, replace(GRID, origin_stride=1, max_origins=None))
 
 
@@ -375,13 +356,8 @@ def _stacked_plugin(spark, sf_dir, horizon):
     return digits(rows.select("series", "origin_index", "horizon_step", "forecast"), 4, "forecast")
 
 
-@query(f"WITH {MARKET}, {backtest_sql('market', quantiles='level', horizon=3)} SELECT series, origin_index, horizon_step, {r('avg(forecast) OVER (PARTITION BY origin_index, horizon_step)', 4)} AS forecast FROM bt")
-def backtest_stacked_plugin(spark, sf_dir):
-    return _stacked_plugin(spark, sf_dir, 3)
-
-
 @query(f"WITH {MARKET}, {backtest_sql('market', quantiles='level', horizon=HORIZON)} SELECT series, origin_index, horizon_step, {r('avg(forecast) OVER (PARTITION BY origin_index, horizon_step)', 4)} AS forecast FROM bt")
-def backtest_stacked_plugin_full(spark, sf_dir):
+def backtest_stacked_plugin(spark, sf_dir):
     return _stacked_plugin(spark, sf_dir, HORIZON)
 
 
@@ -573,44 +549,27 @@ def bh_qvalues(spark, sf_dir):
 _CONF = """s AS (SELECT *, CASE WHEN observed THEN greatest(q10 - actual, actual - q90) END AS score FROM bt),
 h AS (SELECT *, list(score) FILTER (WHERE score IS NOT NULL) OVER (PARTITION BY series, horizon_step ORDER BY origin_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM s),
 t AS (SELECT *, coalesce(len(past), 0) AS cn, CASE WHEN coalesce(len(past), 0) >= 20 THEN list_sort(past)[CAST(least(ceil((len(past) + 1) * 0.8), len(past)) AS BIGINT)] END AS threshold FROM h)"""
-_SMALL_AT = f"WITH {ACTIVITY}, {backtest_sql('activity', horizon=2)}"
-
-
 _FULL_AT = f"WITH {ACTIVITY}, {backtest_sql('activity', horizon=HORIZON)}"
 
 
-def _conformal(spark, sf_dir, horizon=2):
-    rows = forecast.backtest(panels.activity(spark, sf_dir), forecast.empirical_step(L), L, horizon, season=SEASON)
+def _conformal(spark, sf_dir):
+    rows = forecast.backtest(panels.activity(spark, sf_dir), forecast.empirical_step(L), L, HORIZON, season=SEASON)
     return significance.conformal(rows)
 
 
-def _conformal_rows(spark, sf_dir, horizon=2):
-    return digits(_conformal(spark, sf_dir, horizon).select("series", "origin_index", "horizon_step", "calibration_n", "threshold", "conformal_low", "conformal_high"), 4, "threshold", "conformal_low", "conformal_high")
-
-
-@query(f"{_SMALL_AT}, {_CONF} SELECT series, origin_index, horizon_step, cn AS calibration_n, {r('threshold', 4)} AS threshold, {r('q10 - threshold', 4)} AS conformal_low, {r('q90 + threshold', 4)} AS conformal_high FROM t")
+@query(f"{_FULL_AT}, {_CONF} SELECT series, origin_index, horizon_step, cn AS calibration_n, {r('threshold', 4)} AS threshold, {r('q10 - threshold', 4)} AS conformal_low, {r('q90 + threshold', 4)} AS conformal_high FROM t")
 def conformal(spark, sf_dir):
-    return _conformal_rows(spark, sf_dir)
-
-
-@query(SQL["conformal"].replace(_SMALL_AT, _FULL_AT))
-def conformal_full(spark, sf_dir):
     """All steps of the full horizon."""
-    return _conformal_rows(spark, sf_dir, HORIZON)
+    return digits(_conformal(spark, sf_dir).select("series", "origin_index", "horizon_step", "calibration_n", "threshold", "conformal_low", "conformal_high"), 4, "threshold", "conformal_low", "conformal_high")
 
 
-@query(f"""{_SMALL_AT}, {_CONF} SELECT series, horizon_step, count(threshold) AS n, count(*) - count(threshold) AS n_skipped,
+@query(f"""{_FULL_AT}, {_CONF} SELECT series, horizon_step, count(threshold) AS n, count(*) - count(threshold) AS n_skipped,
 {r('avg(CASE WHEN threshold IS NOT NULL THEN CASE WHEN actual BETWEEN q10 AND q90 THEN 1.0 ELSE 0.0 END END)', 6)} AS coverage_raw,
 {r('avg(CASE WHEN threshold IS NOT NULL THEN CASE WHEN actual BETWEEN q10 - threshold AND q90 + threshold THEN 1.0 ELSE 0.0 END END)', 6)} AS coverage_conformal FROM t WHERE observed GROUP BY ALL""")
 def conformal_eval(spark, sf_dir):
     return digits(significance.conformal_summary(_conformal(spark, sf_dir), ["series", "horizon_step"]), 6, "coverage_raw", "coverage_conformal")
 
 
-@query(SQL["conformal_eval"].replace(_SMALL_AT, _FULL_AT))
-def conformal_eval_full(spark, sf_dir):
-    return digits(significance.conformal_summary(_conformal(spark, sf_dir, HORIZON), ["series", "horizon_step"]), 6, "coverage_raw", "coverage_conformal")
-
-
 # ---- events ------------------------------------------------------------------------------------------------------------------
 
 _SHOCKS = """r AS (SELECT series, idx, date, ln(value) - ln(lag(value) OVER (PARTITION BY series ORDER BY idx)) AS r FROM market), s AS (SELECT *, avg(r) OVER (PARTITION BY series) AS m, stddev_pop(r) OVER (PARTITION BY series) AS sd FROM r),
