@@ -11,8 +11,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import BASELINES, LEVELS, PREDICTION_COLUMNS, QUANTILES
 from .panel import TRANSFORMS
@@ -165,41 +167,79 @@ def check_quantiles(quantiles: np.ndarray, rows: int, horizon: int) -> None:
         raise ValueError("quantiles must not fall")
 
 
-def plugin_backtest(panel: DataFrame, plugin: Plugin, context: int, horizon: int, *, origins: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
-    """Prediction rows of a forecaster that runs in Python, in Arrow batches. [M1 M2]
-
-    Rows carry their context and their targets, so results need no join back and their order does not matter; they are
-    spread over tasks by (series, origin) after the windows, so that few long series still keep all workers busy.
-    """
-    order = Window.partitionBy("series").orderBy("idx")
-    rows = contexts(panel, context, horizon)
-    values = panel.select("series", F.col("idx").alias("origin_index"), F.collect_list("value").over(order.rowsBetween(-context, -1)).alias("ctx"))
-    rows = rows.where(F.size("targets") == horizon).join(values, ["series", "origin_index"])
+def _with_results(rows: pa.Table | pa.RecordBatch, plugin: Plugin, context: int, horizon: int, stack: bool) -> pa.RecordBatch:
+    """Rows with points and quantiles in place of their contexts."""
+    at = rows.schema.names.index("ctx")
+    column = rows.column(at).combine_chunks() if isinstance(rows, pa.Table) else rows.column(at)
+    ctx = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), context)
+    point, quantiles = plugin(ctx[None] if stack else ctx, horizon)
+    point, quantiles = (point[0], quantiles[0]) if stack else (point, quantiles)
+    check_quantiles(quantiles, len(ctx), horizon)
+    ends = lambda n, step: pa.array(np.arange(0, n * step + 1, step, dtype=np.int32))
+    points = pa.ListArray.from_arrays(ends(len(ctx), horizon), pa.array(point.astype(float).ravel()))
+    levels = pa.ListArray.from_arrays(ends(len(ctx) * horizon, len(LEVELS)), pa.array(quantiles.astype(float).ravel()))
+    columns = {n: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for n, c in zip(rows.schema.names, rows.columns, strict=True) if n != "ctx"}
+    return pa.RecordBatch.from_pydict(columns | {"points": points, "quantiles": pa.ListArray.from_arrays(ends(len(ctx), horizon), levels)})
+
+
+def _plugin_rows(panel: DataFrame, context: int, horizon: int, transform: str, season: int | None, origins: DataFrame | None) -> tuple[DataFrame, T.StructType]:
+    """Rows that carry their transformed context and their targets through Python, and the schema that comes back."""
+    carried = Forecaster("plugin", lambda: F.col("ctx_last"), lambda _: F.col("ctx_last"), {"ctx": lambda past: F.collect_list("v").over(past)})
+    rows = contexts(panel, context, horizon, transform, season if season and season <= context else None, carried).where(F.size("targets") == horizon)
     rows = rows if origins is None else rows.join(origins, ["series", "origin_index"], "left_semi")
-    keys = ["series", "origin_index"]
-    rows = rows.repartition(partitions, *keys) if partitions else rows.repartition(*keys)
-    own = rows.select(*keys, "origin_date", "targets", "ctx", "ctx_first", "ctx_last", "ctx_n")
+    numbers = T.ArrayType(T.DoubleType())
+    made = [T.StructField("points", numbers), T.StructField("quantiles", T.ArrayType(numbers))]
+    return rows, T.StructType([*(f for f in rows.schema if f.name != "ctx"), *made])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if len(f):
-                point, quantiles = plugin(np.stack(f["ctx"].to_numpy()), horizon)
-                check_quantiles(quantiles, len(f), horizon)
-                yield f[keys].assign(points=list(point.astype(float)), quantiles=[[list(q) for q in row] for row in quantiles.astype(float)])
 
-    made = own.mapInPandas(run, "series string, origin_index bigint, points array<double>, quantiles array<array<double>>")
-    rows = own.drop("ctx").join(made, keys)
-    rows = rows.select("*", F.posexplode("targets").alias("step", "t")).withColumn("horizon_step", (F.col("step") + 1).cast("bigint"))
-    at = lambda name: F.get(name, F.col("step"))
-    clean = lambda c: F.when(~F.isnan(c), c)
-    base = _baseline_columns(None)
-    return rows.withColumn("q", at("quantiles")).select(
-        F.lit("univariate").alias("mode"), F.lit("identity").alias("transform"), F.lit(False).alias("make_positive"), "series", "origin_index", "origin_date",
+def _plugin_predictions(made: DataFrame, mode: str, context: int, transform: str, make_positive: bool, season: int | None) -> DataFrame:
+    """Prediction rows of what a plug-in gave: turned back, cut at 0 where asked for, NaN as NULL."""
+    _, back = TRANSFORMS[transform]
+    rows = made.select("*", F.posexplode("targets").alias("step", "t")).withColumn("horizon_step", (F.col("step") + 1).cast("bigint")).withColumn("q", F.get("quantiles", F.col("step")))
+
+    def final(c: Column) -> Column:
+        c = back(F.when(~F.isnan(c), c))
+        return F.when((F.col("ctx_low") >= 0) & c.isNotNull(), F.greatest(c, F.lit(0.0))).otherwise(c) if make_positive else c
+
+    base = _baseline_columns(season if season and season <= context else None)
+    return rows.select(
+        F.lit(mode).alias("mode"), F.lit(transform).alias("transform"), F.lit(make_positive).alias("make_positive"), "series", "origin_index", "origin_date",
         F.col("t.idx").alias("target_index"), F.col("t.date").alias("target_date"), "horizon_step", F.col("t.value").alias("actual"), F.col("t.observed").alias("observed"),
-        clean(at("points")).alias("forecast"), *(clean(F.get("q", F.lit(i))).alias(q) for i, q in enumerate(QUANTILES)), *(base[b].alias(f"baseline_{b}") for b in BASELINES),
+        final(F.get("points", F.col("step"))).alias("forecast"), *(final(F.get("q", F.lit(i))).alias(q) for i, q in enumerate(QUANTILES)),
+        *(back(base[b]).alias(f"baseline_{b}") for b in BASELINES),
     )
 
 
+def plugin_backtest(
+    panel: DataFrame,
+    plugin: Plugin,
+    context: int,
+    horizon: int,
+    *,
+    transform: str = "identity",
+    make_positive: bool = False,
+    season: int | None = None,
+    origins: DataFrame | None = None,
+    partitions: int | None = None,
+) -> DataFrame:
+    """Prediction rows of a forecaster that runs in Python, in Arrow batches. [M1 M2]
+
+    Rows carry their context and their targets through Python, so nothing is joined back and their order does not matter; they are
+    spread over tasks by (series, origin) after the windows, so that few long series still keep all workers busy. The plug-in sees
+    transformed contexts; transform, make_positive and season as in ``backtest``.
+    """
+    rows, schema = _plugin_rows(panel, context, horizon, transform, season, origins)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                yield _with_results(batch, plugin, context, horizon, stack=False)
+
+    keys = ["series", "origin_index"]
+    spread = rows.repartition(partitions, *keys) if partitions else rows.repartition(*keys)
+    return _plugin_predictions(spread.mapInArrow(run, schema), "univariate", context, transform, make_positive, season)
+
+
 def univariate_only(plugin: Plugin) -> Plugin:
     """For models that take one series at a time: refuses a stack of series, an array of three axes. [M6]"""
 
@@ -211,36 +251,32 @@ def univariate_only(plugin: Plugin) -> Plugin:
     return run
 
 
-def stacked_plugin_backtest(panel: DataFrame, plugin: Plugin, context: int, horizon: int, *, origins: DataFrame | None = None) -> DataFrame:
+def stacked_plugin_backtest(
+    panel: DataFrame,
+    plugin: Plugin,
+    context: int,
+    horizon: int,
+    *,
+    transform: str = "identity",
+    make_positive: bool = False,
+    season: int | None = None,
+    origins: DataFrame | None = None,
+) -> DataFrame:
     """Prediction rows of a multivariate plug-in: contexts (1, series, L) to points (1, series, H) and quantiles (1, series, H, 9). [K2 M1 C6]
 
     An origin's series are gathered in order of their names; an origin that not all series have is refused. An origin is one row a series.
     """
-    order = Window.partitionBy("series").orderBy("idx")
-    rows = contexts(panel, context, horizon).where(F.size("targets") == horizon)
-    values = panel.select("series", F.col("idx").alias("origin_index"), F.collect_list("value").over(order.rowsBetween(-context, -1)).alias("ctx"))
-    rows = rows.join(values, ["series", "origin_index"])
-    rows = rows if origins is None else rows.join(origins, ["series", "origin_index"], "left_semi")
+    rows, schema = _plugin_rows(panel, context, horizon, transform, season, origins)
     n_series = panel.select(F.countDistinct("series").alias("n_series"))
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("series")
-        if len(f) != f["n_series"].iloc[0] or f["origin_date"].nunique() > 1:
-            raise ValueError(f"origin {f['origin_index'].iloc[0]} is not aligned across series")
-        point, quantiles = plugin(np.stack(f["ctx"].to_numpy())[None], horizon)
-        check_quantiles(quantiles[0], len(f), horizon)
-        return f[["series", "origin_index"]].assign(points=list(point[0].astype(float)), quantiles=[[list(q) for q in row] for row in quantiles[0].astype(float)])
-
-    own = rows.crossJoin(n_series)  # one number
-    made = own.select("series", "origin_index", "origin_date", "ctx", "n_series").groupBy("origin_index").applyInPandas(run, "series string, origin_index bigint, points array<double>, quantiles array<array<double>>")
-    out = rows.drop("ctx").join(made, ["series", "origin_index"])
-    out = out.select("*", F.posexplode("targets").alias("step", "t")).withColumn("horizon_step", (F.col("step") + 1).cast("bigint")).withColumn("q", F.get("quantiles", F.col("step")))
-    base = _baseline_columns(None)
-    return out.select(
-        F.lit("multivariate").alias("mode"), F.lit("identity").alias("transform"), F.lit(False).alias("make_positive"), "series", "origin_index", "origin_date",
-        F.col("t.idx").alias("target_index"), F.col("t.date").alias("target_date"), "horizon_step", F.col("t.value").alias("actual"), F.col("t.observed").alias("observed"),
-        F.get("points", F.col("step")).alias("forecast"), *(F.get("q", F.lit(i)).alias(q) for i, q in enumerate(QUANTILES)), *(base[b].alias(f"baseline_{b}") for b in BASELINES),
-    )
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("series")
+        if len(group) != group.column("n_series")[0].as_py() or len(group.column("origin_date").unique()) > 1:
+            raise ValueError(f"origin {group.column('origin_index')[0].as_py()} is not aligned across series")
+        return pa.Table.from_batches([_with_results(group.drop_columns("n_series"), plugin, context, horizon, stack=True)])
+
+    made = rows.crossJoin(n_series).groupBy("origin_index").applyInArrow(run, schema)  # one number
+    return _plugin_predictions(made, "multivariate", context, transform, make_positive, season)
 
 
 def at_horizon(predictions: DataFrame, horizon: int, most: int) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Sequence
+from math import ceil, isnan
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import special
 from ..schema import SEED
@@ -24,14 +28,39 @@ def dm_pvalues(stats: DataFrame) -> DataFrame:
     return stats.withColumn("dm_p", F.when(F.col("dm_stat").isNotNull(), p("dm_stat", F.col("dm_n").cast("double"))))
 
 
-def block_means(values: np.ndarray, block: int, draws: int, rng: np.random.Generator) -> np.ndarray:
-    """Means of moving-block resamples of the rows of ``values``; blocks are shared by its columns."""
+#: Draws worked on at once.
+DRAWS_AT_ONCE = 64
+#: Multiplier and modulus of the generator of block starts, which SQL can follow.
+_MULTIPLIER, _MODULUS = 48271, 2147483647
+
+
+def block_starts(first: int, draws: int, blocks: int, places: int, seed: int) -> np.ndarray:
+    """Where the blocks of draws ``first`` on begin, 0 to places - 1: (draws, blocks), from integers mixed by squares modulo a prime."""
+    d = np.arange(first, first + draws, dtype=np.int64)[:, None]
+    b = np.arange(blocks, dtype=np.int64)[None, :]
+    x = (d * _MULTIPLIER + seed) % _MODULUS
+    for add in (b + 1, d + 7, b + 13):
+        x = (x * _MULTIPLIER + add) % _MODULUS
+        x = (x * x % _MODULUS + add) % _MODULUS
+    return x % places
+
+
+def block_means(values: np.ndarray, block: int, draws: int, seed: int) -> np.ndarray:
+    """Means of moving-block resamples of the rows of ``values``, each as long as ``values``; blocks are shared by its columns.
+
+    Sums of blocks are differences of running sums, so memory is linear in the rows, and a block a draw is one subtraction.
+    """
     n = len(values)
     if not 1 <= block <= n:
         raise ValueError(f"block of {block} for {n} rows")
-    starts = rng.integers(0, n - block + 1, (draws, -(-n // block)))
-    index = (starts[:, :, None] + np.arange(block)).reshape(draws, -1)[:, :n]
-    return values[index].mean(axis=1)
+    blocks = -(-n // block)
+    sums = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0)])
+    sizes = np.append(np.full(blocks - 1, block), n - (blocks - 1) * block)  # the last block fills up
+    out = []
+    for first in range(0, draws, DRAWS_AT_ONCE):
+        starts = block_starts(first, min(DRAWS_AT_ONCE, draws - first), blocks, n - block + 1, seed)
+        out.append((sums[starts + sizes] - sums[starts]).sum(axis=1) / n)
+    return np.concatenate(out)
 
 
 def bootstrap(rows: DataFrame, keys: Sequence[str], value: str, block: int, draws: int = 1000, level: float = 0.9, seed: int = SEED, order: str = "origin_index") -> DataFrame:
@@ -43,7 +72,7 @@ def bootstrap(rows: DataFrame, keys: Sequence[str], value: str, block: int, draw
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         v = f.sort_values(order)[value].to_numpy(float)
-        means = block_means(v, block, draws, np.random.default_rng(seed))
+        means = block_means(v, block, draws, seed)
         low, high = np.quantile(means, [tail, 1 - tail])
         return pd.DataFrame([{**{k: f[k].iloc[0] for k in keys}, "n": len(v), "mean": v.mean(), "low": low, "high": high}])
 
@@ -52,26 +81,28 @@ def bootstrap(rows: DataFrame, keys: Sequence[str], value: str, block: int, draw
     return rows.select(*keys, order, value).groupBy(*keys).applyInPandas(run, schema)
 
 
-def paired_bootstrap(predictions: DataFrame, keys: Sequence[str], horizon: int, block: int | None = None, **more) -> DataFrame:
+def _error_gap(baseline: str) -> Column:
+    return F.abs(F.col("actual") - F.col(f"baseline_{baseline}")) - F.abs(F.col("actual") - F.col("forecast"))
+
+
+def paired_bootstrap(predictions: DataFrame, keys: Sequence[str], horizon: int, block: int | None = None, baseline: str = "naive", **more) -> DataFrame:
     """Interval of the mean of baseline error minus forecast error; the block is at least the horizon. [P1]"""
     block = horizon if block is None else block
     if block < horizon:
         raise ValueError("the block must be at least the horizon")
-    delta = F.abs(F.col("actual") - F.col("baseline_naive")) - F.abs(F.col("actual") - F.col("forecast"))
-    return bootstrap(predictions.where("observed").withColumn("delta", delta), keys, "delta", block, **more)
+    return bootstrap(predictions.where("observed").withColumn("delta", _error_gap(baseline)), keys, "delta", block, **more)
 
 
-def panel_bootstrap(predictions: DataFrame, block: int, draws: int = 1000, level: float = 0.9, seed: int = SEED) -> DataFrame:
+def panel_bootstrap(predictions: DataFrame, block: int, draws: int = 1000, level: float = 0.9, seed: int = SEED, baseline: str = "naive") -> DataFrame:
     """(horizon_step, n_series, n, mean, low, high): one draw of blocks for all series, each trimmed to the shortest from its end. [P2 P10]"""
-    delta = F.abs(F.col("actual") - F.col("baseline_naive")) - F.abs(F.col("actual") - F.col("forecast"))
-    rows = predictions.where("observed").select("horizon_step", "series", "origin_index", delta.alias("delta"))
+    rows = predictions.where("observed").select("horizon_step", "series", "origin_index", _error_gap(baseline).alias("delta"))
     tail = (1 - level) / 2
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         groups = [g.sort_values("origin_index")["delta"].to_numpy(float) for _, g in f.groupby("series", sort=True)]
         n = min(map(len, groups))
         matrix = np.stack([g[len(g) - n :] for g in groups], axis=1)
-        means = block_means(matrix, block, draws, np.random.default_rng(seed)).mean(axis=1)
+        means = block_means(matrix.mean(axis=1), block, draws, seed)
         low, high = np.quantile(means, [tail, 1 - tail])
         return pd.DataFrame([{"horizon_step": f["horizon_step"].iloc[0], "n_series": len(groups), "n": n, "mean": matrix.mean(), "low": low, "high": high}])
 
@@ -112,12 +143,24 @@ def conformal(predictions: DataFrame, alpha: float = 0.2, least: int = 20, keys:
     their value of rank min(ceil((n + 1)(1 - alpha)), n) and may be negative.
     """
     score = F.when(F.col("observed"), F.greatest(F.col("q10") - F.col("actual"), F.col("actual") - F.col("q90")))
-    past = Window.partitionBy(*keys).orderBy("origin_index").rowsBetween(Window.unboundedPreceding, -1)
-    rows = predictions.withColumn("score", score).withColumn("scores", F.array_sort(F.collect_list("score").over(past))).withColumn("calibration_n", F.size("scores").cast("bigint"))
-    n = F.col("calibration_n")
-    rank = F.least(F.ceil((n + 1) * F.lit(1 - alpha)), n).cast("int")
-    rows = rows.withColumn("threshold", F.when(n >= least, F.try_element_at("scores", F.greatest(rank, F.lit(1)))))
-    return rows.withColumn("conformal_low", F.col("q10") - F.col("threshold")).withColumn("conformal_high", F.col("q90") + F.col("threshold")).drop("scores", "score")
+    rows = predictions.withColumn("score", score)
+    added = [T.StructField("calibration_n", T.LongType()), T.StructField("threshold", T.DoubleType())]
+
+    def run(group: pa.Table) -> pa.Table:
+        """A series at one step, in order: earlier scores are kept sorted, so memory is linear in its rows."""
+        group = group.sort_by("origin_index")
+        seen: list[float] = []
+        counts, thresholds = [], []
+        for x in group.column("score").to_pylist():
+            n = len(seen)
+            counts.append(n)
+            thresholds.append(seen[max(1, min(ceil((n + 1) * (1 - alpha)), n)) - 1] if n >= max(1, least) else None)
+            if x is not None and not isnan(x):
+                insort(seen, x)
+        return group.append_column("calibration_n", pa.array(counts, pa.int64())).append_column("threshold", pa.array(thresholds, pa.float64()))
+
+    rows = rows.groupBy(*keys).applyInArrow(run, T.StructType([*rows.schema, *added])).drop("score")
+    return rows.withColumn("conformal_low", F.col("q10") - F.col("threshold")).withColumn("conformal_high", F.col("q90") + F.col("threshold"))
 
 
 def conformal_summary(rows: DataFrame, keys: Sequence[str]) -> DataFrame:

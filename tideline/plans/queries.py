@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import rounded
 from ..operators import covariates, events, forecast, origins, panel, score, significance, slices
-from ..schema import BASELINES, HORIZON, LEVELS, QUANTILES
+from ..schema import BASELINES, HORIZON, LEVELS, QUANTILES, SEED
 from ..sources import panels, vendor
 from . import grid
 
@@ -436,33 +436,76 @@ def dm_statistic(spark, sf_dir):
     return digits(_dm(spark, sf_dir), 6, "dm_stat")
 
 
-@query()
+# Student's t by Simpson's rule: with t = sqrt(v) * tan(x) the density is cos(x) ** (v - 1) up to a factor.
+_TAIL = """pv AS (SELECT *, CASE WHEN stat IS NOT NULL THEN greatest(0, 1 - 2 * exp(lgamma((t) / 2) - lgamma((t - 1) / 2)) / sqrt(pi()) * atan(abs(stat) / sqrt(t - 1)) / 6000 *
+  list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * cos(atan(abs(stat) / sqrt(t - 1)) * i / 2000) ** (t - 2)))) END AS p
+  FROM (SELECT series, horizon_step, t, CASE WHEN t >= greatest(8, 2 * horizon_step) THEN stat END AS stat FROM dm))"""
+
+
+def _q_sql(family: str) -> str:
+    return f"""kq AS (SELECT *, count(p) OVER ({family}) AS m, row_number() OVER ({family} ORDER BY p NULLS LAST, {'horizon_step' if family else 'series, horizon_step'}) AS rk FROM pv),
+q AS (SELECT series, horizon_step, least(1, min(p * m / rk) OVER ({family} ORDER BY rk DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS q FROM kq WHERE p IS NOT NULL)"""
+
+
+@query(f"{AT}, {_DM}, {_TAIL}, {_q_sql('PARTITION BY series')} SELECT pv.series, pv.horizon_step, {r('stat', 6)} AS dm_stat, t AS dm_n, {r('p', 6)} AS dm_p, {r('q', 6)} AS q_value FROM pv LEFT JOIN q USING (series, horizon_step)")
 def dm_pvalues(spark, sf_dir):
-    return significance.bh_qvalues(significance.dm_pvalues(_dm(spark, sf_dir)), "dm_p", ("series",), ("horizon_step",))
+    return digits(significance.bh_qvalues(significance.dm_pvalues(_dm(spark, sf_dir)), "dm_p", ("series",), ("horizon_step",)), 6, "dm_stat", "dm_p", "q_value")
 
 
-@query()
+def _boot_sql(keys: str, source: str, block: int = H, draws: int = 1000) -> str:
+    """Moving blocks over rows (keys, i from 0, d): mean and 90 % interval of the resampled means, in ``boot``."""
+    start = f"(dr * 48271 + {SEED}) % 2147483647"
+    for add in ("(b + 1)", "(dr + 7)", "(b + 13)"):
+        start = f"(SELECT (y * y % 2147483647 + {add}) % 2147483647 FROM (SELECT ({start} * 48271 + {add}) % 2147483647 AS y))"
+    return f"""{source}, z AS (SELECT {keys}, i + 1 AS i, sum(d) OVER (PARTITION BY {keys} ORDER BY i) AS s FROM d0 UNION ALL SELECT DISTINCT {keys}, 0, 0.0 FROM d0),
+nn AS (SELECT {keys}, count(*) AS n, avg(d) AS mean FROM d0 GROUP BY ALL), lens AS (SELECT DISTINCT n, CAST(ceil(n / {block}) AS BIGINT) AS blocks FROM nn),
+cells AS (SELECT n, dr, b, blocks FROM lens CROSS JOIN range(0, {draws}) x(dr) JOIN range(0, 100000) w(b) ON b < blocks),
+st AS (SELECT n, dr, {start} % (n - {block} + 1) AS start, CASE WHEN b = blocks - 1 THEN n - (blocks - 1) * {block} ELSE {block} END AS size FROM cells),
+ms AS (SELECT {keys}, dr, sum(z2.s - z1.s) / n AS m FROM nn JOIN st USING (n) JOIN z z1 USING ({keys}) JOIN z z2 USING ({keys}) WHERE z1.i = start AND z2.i = start + size GROUP BY {keys}, dr, n),
+boot AS (SELECT {keys}, n, {r('any_value(mean)', 4)} AS mean, {r('quantile_cont(m, 0.05)', 4)} AS low, {r('quantile_cont(m, 0.95)', 4)} AS high FROM ms JOIN nn USING ({keys}) GROUP BY {keys}, n)"""
+
+
+_GAP = "abs(actual - baseline_drift) - abs(actual - forecast)"
+_OWN_GAPS = f"d0 AS (SELECT series, horizon_step, row_number() OVER (PARTITION BY series, horizon_step ORDER BY origin_index) - 1 AS i, {_GAP} AS d FROM bt WHERE observed)"
+_PANEL_GAPS = f"""e0 AS (SELECT series, horizon_step, row_number() OVER (PARTITION BY series, horizon_step ORDER BY origin_index DESC) AS back, count(*) OVER (PARTITION BY series, horizon_step) AS c, {_GAP} AS d FROM bt WHERE observed),
+e1 AS (SELECT *, min(c) OVER (PARTITION BY horizon_step) AS least FROM e0), d0 AS (SELECT horizon_step, least - back AS i, avg(d) AS d FROM e1 WHERE back <= least GROUP BY ALL)"""
+
+
+@query(f"{AT}, {_boot_sql('series, horizon_step', _OWN_GAPS)} SELECT * FROM boot")
 def bootstrap_ci(spark, sf_dir):
-    return significance.paired_bootstrap(activity_rows(spark, sf_dir), ["series", "horizon_step"], H)
+    return digits(significance.paired_bootstrap(activity_rows(spark, sf_dir), ["series", "horizon_step"], H, baseline="drift"), 4, "mean", "low", "high")
 
 
-@query()
+@query(f"{AT}, {_boot_sql('horizon_step', _PANEL_GAPS)} SELECT horizon_step, n_series, n, mean, low, high FROM boot JOIN (SELECT horizon_step, count(DISTINCT series) AS n_series FROM e0 GROUP BY 1) USING (horizon_step)")
 def panel_bootstrap(spark, sf_dir):
-    return significance.panel_bootstrap(activity_rows(spark, sf_dir), H)
+    return digits(significance.panel_bootstrap(activity_rows(spark, sf_dir), H, baseline="drift"), 4, "mean", "low", "high")
 
 
-@query()
+_ACC_NAMES = ("mae", "baseline_mae", "rmse", "smape", "mase", "baseline_mase")
+
+
+@query(f"""{AT}, {_ACC_DRIFT}, {_DM}, {_TAIL}, {_q_sql('')}, {_boot_sql('series, horizon_step', _OWN_GAPS)}
+SELECT acc.series, acc.horizon_step, acc.n, {', '.join(f'{r("acc." + c, 6)} AS {c}' for c in _ACC_NAMES)}, {r('mae / baseline_mae', 6)} AS relative_mae_vs_baseline, {r('1 - mae / baseline_mae', 6)} AS skill,
+{r('stat', 6)} AS dm_stat, t AS dm_n, {r('p', 6)} AS dm_p, {r('q', 6)} AS q_value, mean, low, high FROM acc JOIN pv USING (series, horizon_step) LEFT JOIN q USING (series, horizon_step) LEFT JOIN boot USING (series, horizon_step)""")
 def significance_table(spark, sf_dir):
     rows = activity_rows(spark, sf_dir)
     acc = score.accuracy(rows, score.mase_scales(panels.activity(spark, sf_dir), L), ["series", "horizon_step"], "drift")
-    return significance.significance_table(acc, significance.paired_bootstrap(rows, ["series", "horizon_step"], H), ["series", "horizon_step"])
+    table = significance.significance_table(acc, significance.paired_bootstrap(rows, ["series", "horizon_step"], H, baseline="drift"), ["series", "horizon_step"])
+    return digits(digits(table, 6, *_ACC_NAMES, "relative_mae_vs_baseline", "skill", "dm_stat", "dm_p", "q_value"), 4, "mean", "low", "high")
 
 
-@query()
+_BINOMIAL = "list_sum(list_transform(range({0}, {1}), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({2}) + (n - j) * ln(1 - {2}))))"
+
+
+@query(f"""{AT.replace('WITH', 'WITH RECURSIVE', 1)}, c AS (SELECT series, horizon_step, count(*) FILTER (WHERE actual BETWEEN q10 AND q90) AS hits, count(*) AS n FROM bt WHERE observed GROUP BY ALL),
+b AS (SELECT series, horizon_step, hits, n, 0 AS step, 0.0::DOUBLE AS a0, 1.0::DOUBLE AS a1, 0.0::DOUBLE AS b0, 1.0::DOUBLE AS b1 FROM c
+UNION ALL SELECT series, horizon_step, hits, n, step + 1, CASE WHEN pa < 0.025 THEN am ELSE a0 END, CASE WHEN pa < 0.025 THEN a1 ELSE am END, CASE WHEN pb > 0.025 THEN bm ELSE b0 END, CASE WHEN pb > 0.025 THEN b1 ELSE bm END
+  FROM (SELECT *, {_BINOMIAL.format('hits', 'n + 1', 'am')} AS pa, {_BINOMIAL.format('0', 'hits + 1', 'bm')} AS pb FROM (SELECT *, (a0 + a1) / 2 AS am, (b0 + b1) / 2 AS bm FROM b WHERE step < 40)))
+SELECT series, horizon_step, hits, n, CASE WHEN hits = 0 THEN 0 ELSE {r('a0', 6)} END AS cp_low, CASE WHEN hits = n THEN 1 ELSE {r('b1', 6)} END AS cp_high FROM b WHERE step = 40""")
 def clopper_pearson(spark, sf_dir):
     inside = ((F.col("actual") >= F.col("q10")) & (F.col("actual") <= F.col("q90")))
     counts = activity_rows(spark, sf_dir).where("observed").groupBy("series", "horizon_step").agg(F.count_if(inside).alias("hits"), F.count("*").alias("n"))
-    return significance.clopper_pearson(counts, "hits", "n")
+    return digits(significance.clopper_pearson(counts, "hits", "n"), 6, "cp_low", "cp_high")
 
 
 _LONG = " UNION ALL ".join(f"SELECT series, horizon_step, actual, forecast, '{b}' AS baseline_method, baseline_{b} AS b FROM bt WHERE observed AND baseline_{b} IS NOT NULL" for b in BASELINES[:3])
