@@ -192,6 +192,36 @@ def test_plugins(spark):
         forecast.plugin_backtest(p, lambda c, h: (last(c, h)[0], last(c, h)[1][:, :, :5]), 4, 2).collect()
 
 
+def test_plugins_with_transform_positivity_and_season(spark):
+    p = make_panel(spark, {"A": [3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5, 8], "B": [2, 7, 1, 8, 2, 8, 1, 8, 2, 8, 4, 5]})
+
+    def last(ctx, h):
+        point = np.repeat(ctx[..., -1:], h, axis=-1)
+        return point, point[..., None] + np.array(LEVELS)
+
+    names = ["transform", "make_positive", "series", "origin_index", "horizon_step", "forecast", "actual", "baseline_naive", "baseline_drift", "baseline_seasonal_naive", *QUANTILES]
+    rows = lambda df: [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in sorted(map(tuple, df.select(*names).collect()))]
+    for transform in ("identity", "log1p"):
+        how = {"transform": transform, "make_positive": True, "season": 3}
+        want = rows(forecast.backtest(p, forecast.last_plus_level(), 4, 2, **how))
+        assert rows(forecast.plugin_backtest(p, last, 4, 2, **how)) == want == rows(forecast.stacked_plugin_backtest(p, last, 4, 2, **how))
+    down = lambda ctx, h: (last(ctx, h)[0] - 100, last(ctx, h)[1] - 100)
+    assert {r.forecast for r in forecast.plugin_backtest(p, down, 4, 2, make_positive=True).collect()} == {0.0}
+    lost = lambda ctx, h: (last(ctx, h)[0] * np.nan, last(ctx, h)[1])
+    assert {r.forecast for r in forecast.plugin_backtest(p, lost, 4, 2, make_positive=True).collect()} == {None}
+
+
+def test_block_means_are_those_of_the_blocks():
+    values = np.random.default_rng(0).normal(size=(23, 2))
+    starts = significance.block_starts(0, 100, 5, 23 - 5 + 1, 7)
+    assert starts.min() == 0 and starts.max() == 18 and len(np.unique(starts, axis=0)) == 100
+    want = [np.concatenate([values[s : s + 5] for s in row])[:23].mean(axis=0) for row in starts]
+    assert np.allclose(significance.block_means(values, 5, 100, 7), want)
+    assert np.allclose(significance.block_means(values, 23, 3, 7), values.mean(axis=0))
+    with pytest.raises(ValueError, match="block of 24"):
+        significance.block_means(values, 24, 3, 7)
+
+
 def test_exponential_smoothing():
     out = forecast.holt(np.arange(0, 40, 2.0), 4)
     assert np.isfinite(out).all() and (np.diff(out) > 0).all() and out[0] > 38
