@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .shared import table
 from .tokens import WordEncoder, text_chunks, vocabulary
+from .worker import caches, serves
 
 WORD_END = "</w>"
 #: Longer words are walked alone, without nodes of their own.
@@ -248,6 +249,7 @@ class TrieEncoder(WordEncoder):
 
 
 _encoders: dict[str, TrieEncoder] = {}
+caches.append(_encoders.clear)
 
 
 def trie_encoder(path: str) -> TrieEncoder:
@@ -264,6 +266,7 @@ def encode(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str =
     table gives no rows; further columns are left out. Strings of special tokens in a text become their ids, as in the library.
     """
 
+    @serves("trie")
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = trie_encoder(vocab)
         for batch in batches:

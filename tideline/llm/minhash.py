@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .shared import drop_path, stored, table
 from .tokens import text_chunks
+from .worker import serves
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 24 bands of 6 registers: a pair of similarity 0.8 shares a band with a probability of 0.9993, of 0.5 with 0.31.
@@ -154,6 +155,7 @@ _SIGNED = "doc_id bigint, uid bigint, digest string, keys array<bigint>, n_shing
 def sign(units: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows (doc_id, uid, digest, text) with band keys and the size of the bag in place of the text."""
 
+    @serves("near dedup")
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_chunks(batch, text_col, 1_000_000):
@@ -174,6 +176,7 @@ def _lists(rows: np.ndarray, kind: pa.DataType) -> pa.Array:
 def bag_sets(units: DataFrame, text_col: str = "text") -> DataFrame:
     """uid and bag (array of digests of numbered shingles) for units (uid, text)."""
 
+    @serves("near dedup")
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_chunks(batch, text_col, 1_000_000):
@@ -249,6 +252,7 @@ def residual_links(members: DataFrame, labels: DataFrame, sets: DataFrame) -> Da
     return units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare, "a bigint, b bigint").distinct()
 
 
+@serves("near dedup")
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compares the units of sorted rows, one after another."""
     rest = None

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .shared import stored, table
 from .tokens import encoder, text_chunks, vocabulary
+from .worker import serves
 
 #: Partitions whose open windows are merged in one task: at most 64 x 32 windows of 4096 ids, 34 MB.
 MERGED_PARTITIONS, OPEN_WINDOWS = 64, 32
@@ -108,6 +109,7 @@ def pack(docs: DataFrame, vocab: str, end_id: int, size: int = 4096, open_window
     one by one; an empty table gives no rows; further columns are left out.
     """
 
+    @serves("packing")
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, enc, end = TaskContext.get().partitionId(), encoder(vocab), end_id.to_bytes(4, "little")
         packer = Packer(size, open_windows, (own + 1) << 32)

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .shared import new_path, table
 from .tokens import encoder, text_chunks, vocabulary
+from .worker import serves
 
 MAGIC, FOOTER = b"TLSST001", struct.Struct("<6Q2I8s")
 BLOCK_BYTES, RESTART_EVERY, BITS_PER_KEY, N_HASHES = 64 << 10, 16, 10, 7
@@ -197,6 +198,7 @@ def write_shards(docs: DataFrame, path: str, vocab: str, end_id: int, id_col: st
     under a name of its own and moves the file when it is whole, so a task that is run again does no harm.
     """
 
+    @serves("sorted shards")
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, own = encoder(vocab), TaskContext.get().partitionId()
         width = 2 if max(enc.vocab_size, end_id + 1) <= 1 << 16 else 4

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import drop_path, row_keys, stored, table
+from .worker import serves
 
 
 class Passage(NamedTuple):
@@ -274,6 +275,7 @@ _ANCHOR = "k1 bigint, k2 bigint, digest bigint, place int, first int, last int,
 
 
 def _find(kind: Passage):
+    @serves("suffix dedup")
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, _, data, bounds in _buffers(batch.column(2)):
@@ -296,6 +298,7 @@ _CONTEXT = "digest bigint, context bigint, copies bigint, n bigint, place int, s
 def _cut_contexts(kind: Passage):
     """Rows (text, wanted: list of anchors) to the symbols of each wanted anchor's passages."""
 
+    @serves("suffix dedup")
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, end, data, bounds in _buffers(batch.column(0)):
@@ -342,6 +345,7 @@ def _expanded(kind: Passage):
         ranges = pa.StructArray.from_arrays([pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["lo", "hi"])
         return pa.RecordBatch.from_arrays([pa.array(digest[keep]), pa.array(context[keep]), pa.ListArray.from_arrays(pa.array(offsets), ranges)], names=["digest", "context", "starts"])
 
+    @serves("suffix dedup")
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         n = 0
@@ -368,6 +372,7 @@ _PASSAGE = "digest bigint, context bigint, copies bigint, start int, w1 bigint,
 def _passages(kind: Passage):
     """Contexts of an anchor found very often to their passages, each with two digests."""
 
+    @serves("suffix dedup")
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digest, context, copies, span, data = (batch.column(c) for c in ("digest", "context", "copies", "span", "bytes"))
@@ -408,6 +413,7 @@ def _runs(data: bytes, spans: list[dict] | None, kind: Passage) -> list[dict]:
 def _cutter(text_at: int, taken: list[tuple[int, Passage]], as_text: bool):
     """Rows with a text and lists of spans: the runs of each list in its place, and what is left of the text without the first list's."""
 
+    @serves("suffix dedup")
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, len(batch), 256):

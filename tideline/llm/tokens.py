@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
+from .worker import caches
+
 #: Characters whose classes are fixed in every Unicode version in use; I with dot is left out, as it lower-cases to two.
 _LETTERS, _NUMBERS, _SPACES = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
 _OTHER_CHARS = re.compile("[^\x00-\x1b\x20-įı-ſ]")
@@ -124,10 +126,11 @@ class WordEncoder:
 
 
 _encoders: dict[str, WordEncoder] = {}
+caches.append(_encoders.clear)
 
 
 def encoder(path: str) -> WordEncoder:
-    """This process's encoder for a vocabulary file; it lasts as long as the Python worker."""
+    """This process's encoder for a vocabulary file; it lasts until the worker turns to another operator."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]

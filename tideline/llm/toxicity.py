@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from .shared import table
 from .tokens import text_chunks
+from .worker import caches, serves
 
 #: Hashed features, and the most labelled rows that the model is fitted on (taken by a digest of their ids where there are more).
 BITS, SAMPLE_ROWS = 20, 16_000
@@ -43,6 +44,7 @@ class _Digests(dict):
 
 
 _digests = _Digests()
+caches.append(_digests.clear)
 
 
 def features(texts: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -163,6 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     rows = docs.select(F.col(id_col).alias("l_id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(sample), "l_id")
     rows = rows.select("text", "l", F.xxhash64("l_id", "text").alias("o")).repartition(1).sortWithinPartitions("o", "text")
 
+    @serves("toxicity fit")
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def read() -> Iterator[tuple[list[str], list[int]]]:
             for batch in batches:
@@ -187,6 +190,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     sent = spark.sparkContext.broadcast((model.index, model.weight, model.bias, model.bits))
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
 
+    @serves("toxicity")
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, weight, bias, bits = sent.value
         dense = np.zeros(1 << bits, np.float32)
