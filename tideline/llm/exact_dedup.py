@@ -2,7 +2,8 @@
 
 The index is a Parquet table bucketed and sorted by digest. New rows are reduced to one
 candidate a digest, held against the index by a sort-merge anti-join that reads the index
-without a shuffle, and appended in the same bucket layout.
+without a shuffle, and appended in the same bucket layout, as a partition for each batch: a batch
+that is run again after a failure takes the place of what it had appended.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .shared import new_path, stored, table, whole_text
+from .shared import make_path, new_path, stored, table, whole_text
 
 #: Deleted before texts are compared.
 WHITESPACE = " \t\n\x0b\f\r"
+_OVERWRITE = "spark.sql.sources.partitionOverwriteMode"
 _INDEX_SCHEMA = "digest STRING, keep_id BIGINT, n_chars BIGINT, batch BIGINT"
 
 
@@ -31,39 +33,50 @@ def buckets(spark: SparkSession) -> int:
 
 
 class DigestIndex:
-    """Digests seen so far, kept at ``path`` in ``buckets`` buckets sorted by digest.
+    """Digests seen so far, kept at ``path`` in ``buckets`` buckets sorted by digest, partitioned by batch.
 
     Opening the same path with the same number of buckets in a later session finds the earlier digests. The first batch that
     brings a text owns it: within a batch the row with the most code points, then the smallest
-    id stays; a row whose text an earlier batch brought is dropped in favour of that one.
+    id stays; a row whose text another batch brought is dropped in favour of that one.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int) -> None:
         self.spark, self.path, self.buckets = spark, path, buckets
         self.name = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
-            f"CREATE TABLE {self.name} ({_INDEX_SCHEMA}) USING parquet "
+            f"CREATE TABLE {self.name} ({_INDEX_SCHEMA}) USING parquet PARTITIONED BY (batch) "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
+        make_path(spark, path)
+        spark.catalog.recoverPartitions(self.name)
 
     def entries(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def add(self, batch: DataFrame) -> int:
-        """Append the digests of ``batch`` (digest, keep_id, n_chars; one row a digest) that the index lacks; the batch's number."""
-        number = (self.entries().agg(F.max("batch")).first()[0] or 0) + 1
-        fresh = batch.hint("merge").join(self.entries().select("digest"), "digest", "left_anti")
-        # One task a bucket, so that each batch adds one sorted file to a bucket.
-        (
-            fresh.select("digest", "keep_id", "n_chars", F.lit(number).cast("bigint").alias("batch"))
-            .repartition(self.buckets, "digest")
-            .write.mode("append")
-            .format("parquet")
-            .bucketBy(self.buckets, "digest")
-            .sortBy("digest")
-            .saveAsTable(self.name)
-        )
-        return number
+    def close(self) -> None:
+        """Forgets the table's name; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+    def add(self, rows: DataFrame, batch: int) -> None:
+        """Puts the digests of ``rows`` (digest, keep_id, n_chars; one row a digest) that no other batch has in the place of this batch's."""
+        others = self.entries().where(F.col("batch") != batch).select("digest")
+        fresh = rows.hint("merge").join(others, "digest", "left_anti")
+        before = self.spark.conf.get(_OVERWRITE)
+        self.spark.conf.set(_OVERWRITE, "dynamic")  # only this batch's partition is replaced, when the job commits
+        try:
+            # One task a bucket, so that each batch adds one sorted file to a bucket.
+            (
+                fresh.select("digest", "keep_id", "n_chars", F.lit(batch).cast("bigint").alias("batch"))
+                .repartition(self.buckets, "digest")
+                .write.insertInto(self.name, overwrite=True)
+            )
+        finally:
+            self.spark.conf.set(_OVERWRITE, before)
+
+
+def new_batch() -> int:
+    """A number that no other batch has."""
+    return uuid.uuid4().int >> 66
 
 
 def _key_columns(doc_id: Column, text: Column) -> list[Column]:
@@ -75,14 +88,16 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(*_key_columns(F.col(id_col), whole_text(text_col)))
 
 
-def _owned(keyed: DataFrame, index: DigestIndex) -> DataFrame:
+def _owned(keyed: DataFrame, index: DigestIndex, batch: int | None) -> DataFrame:
     """Puts the rows' digests into the index; for each of them whose row stays, its size, whether this batch owns it, and the rows that share it."""
     # Counted and ranked before the shuffle: a text that holds a third of all rows is one row a task here.
     rank = F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"))
     groups = keyed.groupBy("text_sha256").agg(F.min(rank).alias("best"), F.count("*").alias("group_size"))
-    number = index.add(groups.select(F.col("text_sha256").alias("digest"), F.col("best.id").alias("keep_id"), (-F.col("best.n")).alias("n_chars")))
+    number = new_batch() if batch is None else batch
+    index.add(groups.select(F.col("text_sha256").alias("digest"), F.col("best.id").alias("keep_id"), (-F.col("best.n")).alias("n_chars")), number)
     entries = index.entries().select(F.col("digest").alias("text_sha256"), "keep_id", F.col("n_chars").alias("keep_chars"), (F.col("batch") == number).alias("new"))
-    return groups.select("text_sha256", "group_size").join(entries, "text_sha256")
+    # Written first: a join of two plain exchanges can be split where one text has very many rows.
+    return stored(groups.select("text_sha256", "group_size").join(entries, "text_sha256"), "owned")[0]
 
 
 def _winners(rows: DataFrame, owned: DataFrame, how: str) -> DataFrame:
@@ -94,29 +109,28 @@ def _winners(rows: DataFrame, owned: DataFrame, how: str) -> DataFrame:
     return rows.join(new, on, how).withColumn("won", F.col("o_digest").isNotNull() & first).drop("o_digest", "o_id", "o_n")
 
 
-def dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", batch: int | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after white space is deleted; a null text is an empty one, and
     empty texts are equal to each other. Of equal texts in a batch the one with the most code
     points stays, then the smallest id (null ids last); of rows that repeat id and text exactly
-    one. A row whose text the index already had is not kept, and keep_id is that of the earlier
+    one. A row whose text another batch of the index has is not kept, and keep_id is that of this
     batch. group_size counts the rows of this batch that share the text. An empty table gives no
-    rows; further columns are left out.
+    rows; further columns are left out. ``batch`` names these rows in the index: run again under the same
+    number they give the same result. Batches are to be added one after another.
     """
     keyed, _ = stored(_keyed(docs, id_col, text_col), "digests")  # texts are read and hashed once
-    owned = _owned(keyed, index)
-    # Written first: a join of two plain exchanges can be split where one text has very many rows.
-    owned, _ = stored(owned, "owned")
+    owned = _owned(keyed, index, batch)
     marked = _winners(keyed, owned, "left").select("doc_id", "text_sha256", F.col("won").alias("kept"))
     return marked.join(owned, "text_sha256").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-def survivors(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def survivors(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", batch: int | None = None) -> DataFrame:
     """Only the rows that ``dedup`` marks as kept, with all columns of ``docs``."""
     names = [f"c{i}" for i in range(len(docs.columns))]  # own names: a column of docs may have any
     keyed, _ = stored(_keyed(docs, id_col, text_col), "digests")
-    owned = _owned(keyed, index)
+    owned = _owned(keyed, index, batch)
     at = {c: names[i] for i, c in enumerate(docs.columns)}
     rows = docs.toDF(*names)
     rows = rows.select("*", *_key_columns(F.col(at[id_col]), F.coalesce(F.col(at[text_col]), F.lit(""))))
@@ -126,7 +140,9 @@ def survivors(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     index = DigestIndex(spark, new_path(spark, "digest-index"), buckets(spark))
-    return dedup(docs, index)
+    marked = dedup(docs, index)
+    index.close()
+    return marked
 
 
 OP10_SQL = """

@@ -63,10 +63,20 @@ def stored(df: DataFrame, name: str, keep: bool = False) -> tuple[DataFrame, str
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def _folder(spark: SparkSession, path: str) -> tuple:
+    """The file system of a folder and the folder, as the JVM knows them."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def make_path(spark: SparkSession, path: str) -> None:
+    system, p = _folder(spark, path)
+    system.mkdirs(p)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    system, p = _folder(spark, path)
+    system.delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
