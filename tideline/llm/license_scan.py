@@ -1,6 +1,7 @@
 """License scans: fixed phrases, and an exact set-similarity join of text blocks with license templates.
 
-Blocks are windows of BLOCK words every STEP words, so that any BLOCK - STEP + 1 words in a row lie whole in one. Tokens
+Blocks are windows of BLOCK words, one every half of that, so that any half a block and one word more in a row lie whole in
+one; longer templates are held against blocks of twice as many words, or four times, and so on. Tokens
 are ordered by their frequency over the corpus, the rarest first. A block can only hold enough of a
 template if they share one of the template's first tokens in that order (prefix filter), if it is large enough (length
 filter), and if enough tokens are left after the first that they share (positional filter); the rest is counted.
@@ -20,12 +21,12 @@ from pyspark.sql import functions as F
 from .shared import table
 from .tokens import text_chunks
 
-BLOCK, STEP = 64, 32
+BLOCK = 64
 #: Share of a template's distinct words that a block has to hold.
 CONTAINMENT = 0.85
 #: Phrases that count wherever their words stand in a row.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Label and wording of license notices, at most BLOCK - STEP + 1 words each.
+#: Label and wording of license notices.
 TEMPLATES = (
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
@@ -68,7 +69,8 @@ def phrase_places(words: list[bytes], phrase: list[bytes]) -> list[int]:
 class TemplateIndex:
     """Templates with their tokens in corpus order, the rarest first, and the prefixes by token."""
 
-    def __init__(self, templates: tuple[tuple[str, str], ...], counts: dict[bytes, int], threshold: float) -> None:
+    def __init__(self, templates: tuple[tuple[str, str], ...], counts: dict[bytes, int], threshold: float, block: int = BLOCK) -> None:
+        self.block, self.step = block, block // 2
         sets = [sorted(set(words_of(text))) for _, text in templates]
         vocabulary = sorted({w for s in sets for w in s}, key=lambda w: (counts.get(w, 0), w))
         self.rank = {w: i for i, w in enumerate(vocabulary)}
@@ -87,11 +89,11 @@ class TemplateIndex:
         if self.prefix_words.isdisjoint(words):
             return []
         hits = [(i, r) for i, w in enumerate(words) if (r := self.rank.get(w)) is not None]
-        last = max(0, -(-(len(words) - BLOCK) // STEP))
-        blocks = {b for i, r in hits if r in self.prefix for b in (i // STEP, i // STEP - 1) if 0 <= b <= last}
+        last = max(0, -(-(len(words) - self.block) // self.step))
+        blocks = {b for i, r in hits if r in self.prefix for b in (i // self.step, i // self.step - 1) if 0 <= b <= last}
         found = []
         for b in sorted(blocks):
-            begin, end = bisect_left(hits, (b * STEP, -1)), bisect_left(hits, (b * STEP + BLOCK, -1))
+            begin, end = bisect_left(hits, (b * self.step, -1)), bisect_left(hits, (b * self.step + self.block, -1))
             block = sorted({r for _, r in hits[begin:end]})
             if len(block) < self.least:
                 continue
@@ -105,10 +107,21 @@ class TemplateIndex:
                     if 1 + min(len(self.tokens[t]) - place, len(block) - j) - 1 >= self.needed[t]:
                         shared = len(self.tokens[t] & own)
                         if shared >= self.needed[t]:
-                            found.append((t, b * STEP, shared))
+                            found.append((t, b * self.step, shared))
         return found
 
 
+def by_block(templates: tuple[tuple[str, str], ...]) -> dict[int, list[int]]:
+    """Templates by the number of words in the blocks that they are held against: the least that is sure to hold them whole."""
+    out: dict[int, list[int]] = {}
+    for t, (_, text) in enumerate(templates):
+        size = BLOCK
+        while len(words_of(text)) > size // 2 + 1:
+            size *= 2
+        out.setdefault(size, []).append(t)
+    return out
+
+
 def template_counts(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, text_col: str = "text") -> dict[bytes, int]:
     """Over all documents, how many hold each word of the templates: as many numbers as the templates have words."""
     wanted = frozenset(w for _, text in templates for w in words_of(text))
@@ -139,17 +152,14 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
     """One row a document: doc_id, n_words, places of the phrases, and every block that meets a template's threshold.
 
     A null or empty text has no words and no matches. Equal or null doc_ids are scanned row by row, repeated rows too; an
-    empty table gives no rows; further columns are left out. A template of more than BLOCK - STEP + 1 words is refused, as
-    it need not lie whole in a block; a notice that insertions stretch beyond that can be missed at a block's edge.
+    empty table gives no rows; further columns are left out. A notice that insertions stretch beyond half a block can be
+    missed at a block's edge.
     """
-    long = [label for label, t in templates if len(words_of(t)) > BLOCK - STEP + 1]
-    if long:
-        raise ValueError(f"templates of more than {BLOCK - STEP + 1} words: {', '.join(long)}")
     counts = template_counts(docs, templates, text_col)
     phrases = [(label, words_of(p)) for p, label in PHRASES]
 
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = TemplateIndex(templates, counts, threshold)
+        indexes = [(own, TemplateIndex(tuple(templates[t] for t in own), counts, threshold, block)) for block, own in by_block(templates).items()]
         for batch in batches:
             for part, texts in text_chunks(batch, text_col):
                 sizes, places, matches = [], [], []
@@ -157,7 +167,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
                     words = words_of(t)
                     sizes.append(len(words))
                     places.append([{"label": label, "word": i} for label, p in phrases for i in phrase_places(words, p)])
-                    matches.append([{"label": index.labels[k], "template": k, "first_word": b, "containment": n / len(index.tokens[k])} for k, b, n in index.matches(words)])
+                    matches.append([{"label": index.labels[k], "template": own[k], "first_word": b, "containment": n / len(index.tokens[k])} for own, index in indexes for k, b, n in index.matches(words)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(places, _PLACE), pa.array(matches, _MATCH)], names=["doc_id", "n_words", "places", "matches"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias(text_col)).mapInArrow(partition, _SCHEMA)
