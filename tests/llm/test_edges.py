@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
-from brute import bag, cut, near_classes, repeated_spans, repeated_words, text
+from brute import bag, cut, near_classes, repeated_spans, repeated_words, repeated_words_spans, text
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -89,6 +89,20 @@ def test_index_persists_between_batches(spark):
     assert "Bucketed: true" in plan._jdf.queryExecution().executedPlan().toString() or "SelectedBucketsCount" in plan._jdf.queryExecution().toString()
 
 
+def test_a_batch_can_be_run_again(spark):
+    path = shared.new_path(spark, "t")
+    batches = {1: [(5, "a b"), (6, "c"), (7, "c ")], 2: [(1, "ab  "), (2, "d"), (3, "d")], 3: []}
+    for n in (1, 2, 2, 1, 3, 2):
+        index = exact_dedup.DigestIndex(spark, path, 4)
+        got = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.dedup(spark.createDataFrame(batches[n], SCHEMA), index, batch=n).collect()}
+        assert got == {1: {5: (5, True), 6: (7, False), 7: (7, True)}, 2: {1: (5, False), 2: (2, True), 3: (2, False)}, 3: {}}[n]
+        kept = exact_dedup.survivors(spark.createDataFrame(batches[n], SCHEMA), index, batch=n)
+        index.close()
+        assert {r.doc_id for r in kept.collect()} == {i for i, (_, k) in got.items() if k}
+    index = exact_dedup.DigestIndex(spark, path, 4)
+    assert index.entries().count() == index.entries().select("digest").distinct().count() == 3
+
+
 def test_near_duplicates(docs, empty):
     got = minhash.near_duplicates(docs).collect()
     classes = near_classes([text(t) for _, t in ROWS])
@@ -103,15 +117,43 @@ def test_near_duplicates(docs, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
-def test_suffix_dedup(docs, empty):
-    for hot in (suffix_dedup.HOT, 1):
-        got = suffix_dedup.remove_repeats(docs, hot=hot)
-        assert got.columns == [c for c in EXTRA if c not in ("kept", "removed")] + ["doc_id", "kept", "removed"]
-        texts = [text(t).encode() for _, t in ROWS]
-        spans = repeated_spans(texts, suffix_dedup.LEAST)
-        want = sorted(((i, cut(t, s), s) for (i, _), t, s in zip(ROWS, texts, spans, strict=True)), key=lambda r: (key(r[0]), r[1]))
-        assert sorted(((r.doc_id, bytes(r.kept), [(x.f, x.t) for x in r.removed]) for r in got.collect()), key=lambda r: (key(r[0]), r[1])) == want
-    assert suffix_dedup.remove_repeats(empty).count() == 0
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
+def test_suffix_dedup(docs, empty, hot):
+    got = suffix_dedup.remove_repeats(docs, mark={"spans": suffix_dedup.WORDS}, hot=hot)
+    assert got.columns == [c for c in EXTRA if c not in ("kept", "removed", "spans")] + ["doc_id", "kept", "removed", "spans"]
+    texts = [text(t).encode() for _, t in ROWS]
+    spans, words = repeated_spans(texts, 400), repeated_words_spans(texts, 50)
+    want = sorted(((i, cut(t, s), s, w) for (i, _), t, s, w in zip(ROWS, texts, spans, words, strict=True)), key=lambda r: (key(r[0]), r[1]))
+    runs = lambda c: [(x.f, x.t) for x in c]
+    assert sorted(((r.doc_id, bytes(r.kept), runs(r.removed), runs(r.spans)) for r in got.collect()), key=lambda r: (key(r[0]), r[1])) == want
+    assert suffix_dedup.remove_repeats(empty, mark={"spans": suffix_dedup.WORDS}, hot=hot).count() == 0
+
+
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 3])
+@pytest.mark.parametrize("kind", [suffix_dedup.Passage(12, 4), suffix_dedup.Passage(6, 2, True)])
+def test_suffix_dedup_against_brute_force(spark, monkeypatch, kind, hot):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 300)  # texts longer than that are read in parts
+    rng = random.Random(hot)
+    letters = lambda n: "".join(rng.choice("ab ") for _ in range(n))
+    shared_parts = [letters(n) for n in (5, 14, 30, 60, 200)]
+    rows = [(n, "".join(rng.choice([letters(rng.randint(0, 40)), rng.choice(shared_parts), "ab " * 20]) for _ in range(rng.choice([0, 1, 4, 30])))) for n in range(60)]
+    texts = [t.encode() for _, t in rows]
+    found = (repeated_words_spans if kind.words else repeated_spans)(texts, kind.least)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA), kind=kind, hot=hot).collect()
+    assert {r.doc_id: ([(x.f, x.t) for x in r.removed], bytes(r.kept)) for r in got} == {n: (s, cut(t, s)) for (n, _), t, s in zip(rows, texts, found, strict=True)}
+
+
+def test_shared_passages_of_over_fifty_words(spark):
+    """Passages of 51 to 70 words, most of them shorter than 400 bytes, each in three texts of its own words."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    parts = [prose(rng.randint(51, 70)) for _ in range(20)]
+    assert any(len(p) < 400 for p in parts)
+    rows = [(3 * n + k, f"{prose(60)} {p}\n{prose(40)}") for n, p in enumerate(parts) for k in range(3)] + [(100 + n, f"{prose(90)} {prose(49)}") for n in range(20)]
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA), kind=suffix_dedup.WORDS, as_text=True).collect()}
+    for i, t in rows:
+        assert got[i].kept == (t.replace(parts[i // 3], "") if i < 100 else t)
 
 
 def test_cut_through_a_character_leaves_valid_text(spark):
@@ -231,10 +273,13 @@ def test_toxicity(spark, docs, empty):
     assert blank.scores(["anything"]) == [0.5]
 
 
-def test_templates_that_blocks_cannot_hold_are_refused(empty):
-    assert license_scan.scan(empty, (("fits", " ".join(f"w{i}" for i in range(33))),)).count() == 0
-    with pytest.raises(ValueError, match="33 words: long"):
-        license_scan.scan(empty, (("long", " ".join(f"w{i}" for i in range(34))),))
+def test_long_templates_are_found_across_block_edges(spark, empty):
+    templates = tuple((f"t{n}", " ".join(f"w{n}x{i}" for i in range(n))) for n in (33, 34, 65, 66, 500))
+    assert {k: len(v) for k, v in license_scan.by_block(templates).items()} == {64: 1, 128: 2, 256: 1, 1024: 1}
+    rows = [(1000 * n + at, " ".join(["filler"] * at + [t]) + " end") for n, (_, t) in enumerate(templates) for at in range(0, 600, 29)]
+    for r in license_scan.scan(spark.createDataFrame(rows, SCHEMA), templates, threshold=1.0).collect():
+        assert {m.template for m in r.matches} == {r.doc_id // 1000}
+    assert license_scan.scan(empty, templates).count() == 0
 
 
 def test_few_labels_set_the_bias_with_every_row(monkeypatch):
@@ -374,3 +419,24 @@ def test_stages_keep_columns_of_clashing_names(spark, docs):
         rows = out.collect()
         assert rows and all(r[c] == f"own {c}" for r in rows for c in EXTRA if c != "n_chars" or name != "suffix dedup"), name
     assert corpus_pipeline.pack(spark, docs, "").count() > 0
+
+
+def test_stages_on_nulls_repeated_rows_and_empty_tables(spark):
+    sf = "/root/testdata/sf0.001"
+    full = shared.table(spark, sf, "documents")
+    odd = spark.createDataFrame(ROWS * 2, SCHEMA).select("doc_id", "text", F.lit(None).cast("string").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("bigint").alias("n_chars"))
+    assert full.columns == odd.columns
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, full.limit(0), sf).count() == 0, name
+        kept[name] = stage(spark, odd, sf).collect()
+    normal = lambda t: "".join(text(t).split())
+    assert sorted(map(key, {r.doc_id for r in kept["toxicity"]})) == sorted(map(key, {i for i, _ in ROWS})) and len(kept["toxicity"]) == 2 * len(ROWS)
+    assert sorted(normal(r.text) for r in kept["exact dedup"]) == sorted({normal(t) for _, t in ROWS})
+    assert len(kept["near dedup"]) == len(set(near_classes([text(t) for _, t in ROWS]).values()))
+    texts = [text(t).encode() for _, t in ROWS * 2]
+    want = [(i, cut(t, s).decode()) for (i, _), t, s in zip(ROWS * 2, texts, repeated_words_spans(texts, 50), strict=True)]
+    assert sorted(((r.doc_id, r.text) for r in kept["suffix dedup"]), key=lambda r: (key(r[0]), r[1])) == sorted(want, key=lambda r: (key(r[0]), r[1]))
+    assert {r.n_chars - len(r.text) for r in kept["suffix dedup"]} == {0}
+    lib = bpe_trie.trie_encoder(vocabulary("word_bpe_49k.json")).library
+    assert sum(r.length for r in kept["packing"]) == sum(len(lib.encode(t.decode(), add_special_tokens=False).ids) + 1 for t in texts)

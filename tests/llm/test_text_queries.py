@@ -7,7 +7,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
-from brute import cut, near_classes, repeated_spans
+from brute import base_failed, compression_kept, cut, license_labels, near_classes, phrase_places, repeated_spans, repeated_words, repeated_words_spans
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -47,11 +47,52 @@ def test_suffix_dedup(spark, texts):
     ids = sorted(texts)
     raw = [texts[i].encode() for i in ids]
     spans = repeated_spans(raw, 400)
-    want = {i: (len(t), len(t) - len(cut(t, s)), len(s), hashlib.sha256(cut(t, s)).hexdigest()) for i, t, s in zip(ids, raw, spans, strict=True)}
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in registry.queries()["op9_suffix_dedup"](spark, SF).collect()}
+    words = repeated_words_spans(raw, 50)
+    want = {i: (len(t), len(t) - len(cut(t, s)), len(s), hashlib.sha256(cut(t, s)).hexdigest(), len(w), len(t) - len(cut(t, w))) for i, t, s, w in zip(ids, raw, spans, words, strict=True)}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passages, r.passage_bytes) for r in registry.queries()["op9_suffix_dedup"](spark, SF).collect()}
     assert got == want and any(v[1] for v in want.values())
 
 
+def test_quality(spark, texts):
+    rows = registry.queries()["op4_compression_bands"](spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        t = texts[r.doc_id]
+        words = t.encode().split()
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_repeat_words) == (len(words), sum(len(w.decode()) for w in words), sum(t.count(c) for c in "#*$%&|<>"), repeated_words(words))
+        lines = [x for x in t.encode().split(b"\n") if x.split()]
+        assert r.n_dup_lines == sum(x in lines[:i] for i, x in enumerate(lines))
+        assert r.base_failed == base_failed(words) and r.kept == (not r.base_failed and compression_kept(t.encode()))
+    assert {r.kept for r in rows} == {True, False}
+
+
+def test_license_scan(spark, texts):
+    rows = registry.queries()["op5_license_scan"](spark, "/root/testdata/sf0.01").collect()
+    texts = {r.doc_id: r.text or "" for r in shared.table(spark, "/root/testdata/sf0.01", "documents").collect()}
+    assert len(rows) == len(texts)
+    for r in rows:
+        words, places = phrase_places(texts[r.doc_id])
+        at = [i for _, i in places]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(at), min(at, default=None), max(at, default=None))
+        base = {label for label, _ in places}
+        own, best = license_labels(words)
+        assert (r.base_labels, r.labels) == (",".join(sorted(base)), ",".join(sorted(base | own)))
+        assert r.score == pytest.approx(1.0 if at else best)
+    assert any(r.base_labels for r in rows) and any(r.labels != r.base_labels for r in rows)
+
+
+def test_toxicity(spark):
+    """Held-out rows of the 10,000 documents: who is scored, and how well."""
+    sf = "/root/testdata/sf0.1"
+    rows = {r.doc_id: r for r in registry.queries()["op6_toxicity"](spark, sf).collect()}
+    labels = {r.doc_id: r.toxic for r in shared.table(spark, sf, "labels").collect()}
+    assert len(rows) == shared.table(spark, sf, "documents").count()
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for i, r in rows.items())
+    own = [(rows[i].predicted, y) for i, y in labels.items() if i in rows and rows[i].held_out]
+    hits = sum(p and y for p, y in own)
+    assert hits >= 0.9 * sum(p for p, _ in own) and hits >= 0.75 * sum(y for _, y in own)
+
+
 def test_tokens(spark, texts):
     lib = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
     want, at = {}, 0
@@ -101,7 +142,7 @@ def test_pipeline(spark):
     assert {r.doc_id for r in kept["near dedup"]} == set(least.values())
     rows = sorted(kept["near dedup"], key=lambda r: r.doc_id)
     raw = [(r.text or "").encode() for r in rows]
-    want = {r.doc_id: cut(t, s).decode("utf-8", "ignore") for r, t, s in zip(rows, raw, repeated_spans(raw, 400), strict=True)}
+    want = {r.doc_id: cut(t, s).decode("utf-8", "ignore") for r, t, s in zip(rows, raw, repeated_words_spans(raw, 50), strict=True)}
     assert {r.doc_id: r.text for r in kept["suffix dedup"]} == want
     lib = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
     assert sum(r.length for r in kept["packing"]) == sum(len(lib.encode(t, add_special_tokens=False).ids) + 1 for t in want.values())
