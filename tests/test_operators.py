@@ -207,10 +207,22 @@ def test_plugins_with_transform_positivity_and_season(spark):
         assert rows(forecast.plugin_backtest(p, last, 4, 2, **how)) == want == rows(forecast.stacked_plugin_backtest(p, last, 4, 2, **how))
     down = lambda ctx, h: (last(ctx, h)[0] - 100, last(ctx, h)[1] - 100)
     assert {r.forecast for r in forecast.plugin_backtest(p, down, 4, 2, make_positive=True).collect()} == {0.0}
+    timed = forecast.plugin_backtest(p, last, 4, 2, latency=True)
+    assert timed.columns[-1] == "latency_ms" and min(r.latency_ms for r in timed.collect()) >= 0
     lost = lambda ctx, h: (last(ctx, h)[0] * np.nan, last(ctx, h)[1])
     assert {r.forecast for r in forecast.plugin_backtest(p, lost, 4, 2, make_positive=True).collect()} == {None}
 
 
+def test_price_history_is_read_entity_by_entity(spark, tmp_path):
+    days = {"u-1": {f"2024-{m:02d}-01": m + 0.5 for m in range(1, 13)}, "u-2": {}, "u-3": {"2023-12-31": 7, "2024-12-01": 1e3}}
+    for name, text in (("a.json", json.dumps(days)), ("b.json", json.dumps(days, indent=2))):
+        (tmp_path / name).write_text(text)
+        got = {(r.series, r.date.date().isoformat(), r.value) for r in vendor.load_price_history(spark, str(tmp_path / name)).collect()}
+        assert got == {(k, d, float(v)) for k, own in days.items() for d, v in own.items()}
+        recent = vendor.load_price_history(spark, str(tmp_path / name), days=90).collect()
+        assert {(r.series, r.date.month) for r in recent} == {("u-1", 10), ("u-1", 11), ("u-1", 12), ("u-3", 12)} and {r.date.year for r in recent} == {2024}
+
+
 def test_block_means_are_those_of_the_blocks():
     values = np.random.default_rng(0).normal(size=(23, 2))
     starts = significance.block_starts(0, 100, 5, 23 - 5 + 1, 7)

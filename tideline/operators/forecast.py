@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from time import perf_counter
 
 import numpy as np
 import pandas as pd
@@ -168,18 +169,20 @@ def check_quantiles(quantiles: np.ndarray, rows: int, horizon: int) -> None:
 
 
 def _with_results(rows: pa.Table | pa.RecordBatch, plugin: Plugin, context: int, horizon: int, stack: bool) -> pa.RecordBatch:
-    """Rows with points and quantiles in place of their contexts."""
+    """Rows with points, quantiles and the milliseconds that the call for all of them took in place of their contexts."""
     at = rows.schema.names.index("ctx")
     column = rows.column(at).combine_chunks() if isinstance(rows, pa.Table) else rows.column(at)
     ctx = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), context)
+    began = perf_counter()
     point, quantiles = plugin(ctx[None] if stack else ctx, horizon)
+    took = pa.array(np.full(len(ctx), (perf_counter() - began) * 1000))
     point, quantiles = (point[0], quantiles[0]) if stack else (point, quantiles)
     check_quantiles(quantiles, len(ctx), horizon)
     ends = lambda n, step: pa.array(np.arange(0, n * step + 1, step, dtype=np.int32))
     points = pa.ListArray.from_arrays(ends(len(ctx), horizon), pa.array(point.astype(float).ravel()))
     levels = pa.ListArray.from_arrays(ends(len(ctx) * horizon, len(LEVELS)), pa.array(quantiles.astype(float).ravel()))
     columns = {n: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for n, c in zip(rows.schema.names, rows.columns, strict=True) if n != "ctx"}
-    return pa.RecordBatch.from_pydict(columns | {"points": points, "quantiles": pa.ListArray.from_arrays(ends(len(ctx), horizon), levels)})
+    return pa.RecordBatch.from_pydict(columns | {"points": points, "quantiles": pa.ListArray.from_arrays(ends(len(ctx), horizon), levels), "latency_ms": took})
 
 
 def _plugin_rows(panel: DataFrame, context: int, horizon: int, transform: str, season: int | None, origins: DataFrame | None) -> tuple[DataFrame, T.StructType]:
@@ -188,11 +191,11 @@ def _plugin_rows(panel: DataFrame, context: int, horizon: int, transform: str, s
     rows = contexts(panel, context, horizon, transform, season if season and season <= context else None, carried).where(F.size("targets") == horizon)
     rows = rows if origins is None else rows.join(origins, ["series", "origin_index"], "left_semi")
     numbers = T.ArrayType(T.DoubleType())
-    made = [T.StructField("points", numbers), T.StructField("quantiles", T.ArrayType(numbers))]
+    made = [T.StructField("points", numbers), T.StructField("quantiles", T.ArrayType(numbers)), T.StructField("latency_ms", T.DoubleType())]
     return rows, T.StructType([*(f for f in rows.schema if f.name != "ctx"), *made])
 
 
-def _plugin_predictions(made: DataFrame, mode: str, context: int, transform: str, make_positive: bool, season: int | None) -> DataFrame:
+def _plugin_predictions(made: DataFrame, mode: str, context: int, transform: str, make_positive: bool, season: int | None, latency: bool) -> DataFrame:
     """Prediction rows of what a plug-in gave: turned back, cut at 0 where asked for, NaN as NULL."""
     _, back = TRANSFORMS[transform]
     rows = made.select("*", F.posexplode("targets").alias("step", "t")).withColumn("horizon_step", (F.col("step") + 1).cast("bigint")).withColumn("q", F.get("quantiles", F.col("step")))
@@ -206,7 +209,7 @@ def _plugin_predictions(made: DataFrame, mode: str, context: int, transform: str
         F.lit(mode).alias("mode"), F.lit(transform).alias("transform"), F.lit(make_positive).alias("make_positive"), "series", "origin_index", "origin_date",
         F.col("t.idx").alias("target_index"), F.col("t.date").alias("target_date"), "horizon_step", F.col("t.value").alias("actual"), F.col("t.observed").alias("observed"),
         final(F.get("points", F.col("step"))).alias("forecast"), *(final(F.get("q", F.lit(i))).alias(q) for i, q in enumerate(QUANTILES)),
-        *(back(base[b]).alias(f"baseline_{b}") for b in BASELINES),
+        *(back(base[b]).alias(f"baseline_{b}") for b in BASELINES), *(["latency_ms"] if latency else []),
     )
 
 
@@ -221,12 +224,14 @@ def plugin_backtest(
     season: int | None = None,
     origins: DataFrame | None = None,
     partitions: int | None = None,
+    latency: bool = False,
 ) -> DataFrame:
     """Prediction rows of a forecaster that runs in Python, in Arrow batches. [M1 M2]
 
     Rows carry their context and their targets through Python, so nothing is joined back and their order does not matter; they are
     spread over tasks by (series, origin) after the windows, so that few long series still keep all workers busy. The plug-in sees
-    transformed contexts; transform, make_positive and season as in ``backtest``.
+    transformed contexts; transform, make_positive and season as in ``backtest``. With ``latency`` rows have latency_ms, the milliseconds of the
+    call that made them, which a batch of rows shares.
     """
     rows, schema = _plugin_rows(panel, context, horizon, transform, season, origins)
 
@@ -237,7 +242,7 @@ def plugin_backtest(
 
     keys = ["series", "origin_index"]
     spread = rows.repartition(partitions, *keys) if partitions else rows.repartition(*keys)
-    return _plugin_predictions(spread.mapInArrow(run, schema), "univariate", context, transform, make_positive, season)
+    return _plugin_predictions(spread.mapInArrow(run, schema), "univariate", context, transform, make_positive, season, latency)
 
 
 def univariate_only(plugin: Plugin) -> Plugin:
@@ -261,10 +266,12 @@ def stacked_plugin_backtest(
     make_positive: bool = False,
     season: int | None = None,
     origins: DataFrame | None = None,
+    latency: bool = False,
 ) -> DataFrame:
     """Prediction rows of a multivariate plug-in: contexts (1, series, L) to points (1, series, H) and quantiles (1, series, H, 9). [K2 M1 C6]
 
     An origin's series are gathered in order of their names; an origin that not all series have is refused. An origin is one row a series.
+    Options as in ``plugin_backtest``.
     """
     rows, schema = _plugin_rows(panel, context, horizon, transform, season, origins)
     n_series = panel.select(F.countDistinct("series").alias("n_series"))
@@ -276,7 +283,7 @@ def stacked_plugin_backtest(
         return pa.Table.from_batches([_with_results(group.drop_columns("n_series"), plugin, context, horizon, stack=True)])
 
     made = rows.crossJoin(n_series).groupBy("origin_index").applyInArrow(run, schema)  # one number
-    return _plugin_predictions(made, "multivariate", context, transform, make_positive, season)
+    return _plugin_predictions(made, "multivariate", context, transform, make_positive, season, latency)
 
 
 def at_horizon(predictions: DataFrame, horizon: int, most: int) -> DataFrame:

@@ -93,11 +93,19 @@ def load_archive(spark: SparkSession, path: str, groups: list[int] | None = None
     return rows.where(F.col("group").isin(groups)) if groups else rows
 
 
-def load_price_history(spark: SparkSession, path: str) -> DataFrame:
-    """(series, date, value) of a JSON map of entity to a map of date to price. [SC16]"""
-    text = spark.read.text(path, wholetext=True)
-    maps = text.select(F.explode(F.from_json("value", "map<string,map<string,double>>")).alias("series", "days"))
-    return maps.select("series", F.explode("days").alias("day", "value")).select("series", F.to_date("day").cast("timestamp_ntz").alias("date"), "value")
+def load_price_history(spark: SparkSession, path: str, days: int | None = None) -> DataFrame:
+    """(series, date, value) of a JSON map of entity to a map of date to price; with ``days`` only that many up to the newest date. [SC16]
+
+    The file is read a map at a time, cut at closing braces, so that a file of many GB is spread over tasks and no row holds more than one entity.
+    Names must not hold braces or quotes, as identifiers and dates do not.
+    """
+    parts = spark.read.option("lineSep", "}").text(path).select(F.regexp_extract("value", r'(?s)"([^"{}]+)"\s*:\s*\{(.*)$', 1).alias("series"), F.regexp_extract("value", r"(?s)\{([^{]*)$", 1).alias("body"))
+    maps = parts.where("series <> ''").select("series", F.from_json(F.concat(F.lit("{"), "body", F.lit("}")), "map<string,double>").alias("days"))
+    rows = maps.select("series", F.explode("days").alias("day", "value")).select("series", F.to_date("day").cast("timestamp_ntz").alias("date"), "value")
+    if days is None:
+        return rows
+    newest = rows.agg(F.max("date").alias("newest"))  # one row
+    return rows.join(F.broadcast(newest), F.datediff("newest", "date") < days).drop("newest")
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
