@@ -10,7 +10,9 @@ the least of the rows between. Extension stops as soon as ``least`` can be reach
 alone in its interval.
 
 Only the occurrences of anchors found in two contexts or more enter, once for each distinct context; an anchor whose
-contexts are all equal repeats throughout. Anchors found in very many contexts are counted passage by passage.
+contexts are all equal repeats throughout. An interval too large for one task is split by how far the passages
+reach before the anchor: those that reach far share much of what precedes, the others of what follows, so each half falls into
+intervals of longer strings, which are extended, or split again, in the same way.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ class Passage(NamedTuple):
 
 
 BYTES, WORDS = Passage(), Passage(50, 8, True)
-#: Anchors with more distinct contexts than this are not gathered in one task.
+#: Intervals of more rows than this are split before they are gathered.
 HOT = 20_000
 #: Bytes, or symbols, worked on at once.
 CHUNK = 1_000_000
@@ -319,29 +321,93 @@ def _cut_contexts(kind: Passage):
     return partition
 
 
+_PIECE = ["digest", "context", "copies", "place", "span", "bytes", "piece", "shift", "low", "high"]
+
+
+def _halves(pieces: DataFrame, kind: Passage) -> DataFrame:
+    """Contexts, each cut to the passages that reach low to the middle and those that reach further to high symbols before the anchor.
+
+    Equal passages of one half have their first low and last least - gram - high symbols around the anchor in common: they name the new piece.
+    """
+    size = lambda n: n * kind.width
+    middle = F.expr("(low + high) div 2").cast("int")
+    ranges = F.array(F.struct("low", middle.alias("high")), F.struct((middle + 1).alias("low"), "high"))
+    rows = pieces.select("digest", "context", "copies", "place", "span", "shift", "bytes", F.explode(ranges).alias("r")).select("*", "r.low", "r.high")
+    rows = rows.withColumns({"fewest": F.greatest(F.col("place") - F.col("span"), "low"), "most": F.least("place", "high")}).where("fewest <= most")
+    fewest, most, skipped = F.col("fewest"), F.col("most"), F.col("place") - F.col("most")
+    rows = rows.select(
+        "digest", "context", "copies", most.alias("place"), (most - fewest).alias("span"),
+        F.substring("bytes", size(skipped) + 1, size(most - fewest + kind.least)).alias("bytes"),
+        (F.col("shift") + skipped).alias("shift"), "low", "high",
+    )
+    common = F.substring("bytes", size(F.col("place") - F.col("low")) + 1, size(F.col("low") - F.col("high") + kind.least))
+    return rows.withColumn("piece", F.xxhash64("digest", "low", "high", common)).select(*_PIECE)
+
+
+def _extended(pieces: DataFrame, kind: Passage) -> DataFrame:
+    """The repeated passages of contexts, a piece in a task."""
+    rows = pieces.select("piece", "digest", "context", "copies", "place", "span", "shift", "bytes")
+    return rows.repartition("piece").sortWithinPartitions("piece").mapInArrow(_expanded(kind), _STARTS)
+
+
+def _starts_of(cut: DataFrame, kind: Passage, hot: int) -> tuple[DataFrame, list[str]]:
+    """(digest, context, starts) of contexts of anchors, and the tables that hold them; intervals of more than ``hot`` rows are split."""
+    pieces = cut.select("*", F.col("digest").alias("piece"), F.lit(0).alias("shift"), F.lit(0).alias("low"), F.lit(kind.least - kind.gram).alias("high"))
+    out, path = stored(_extended(pieces.where(F.col("n") <= hot), kind), "starts")
+    paths, before = [path], []
+    large = pieces.where(F.col("n") > hot)
+    if large.isEmpty():
+        return out, paths
+    # A context that occurs twice repeats throughout, whatever piece it comes to.
+    whole = large.where("copies > 1").select("digest", "context", F.array(F.struct(F.lit(0).alias("lo"), F.col("span").alias("hi"))).alias("starts"))
+    known, path = stored(whole, "starts")
+    out, large = out.unionByName(known), large.dropDuplicates(["digest", "context"])
+    paths.append(path)
+    while True:  # the range is halved each time
+        split, path0 = stored(_halves(large, kind), "halves")
+        sizes, path1 = stored(split.groupBy("piece").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+        sized, path2 = stored(split.join(sizes, "piece"), "pieces")
+        for path in (path0, path1, *before):
+            drop_path(split.sparkSession, path)
+        before = [path2]
+        # Where the range is one symbol's, the piece is the passage itself.
+        one = sized.where("low = high").select("digest", "context", F.array(F.struct(F.col("shift").alias("lo"), F.col("shift").alias("hi"))).alias("starts"))
+        found, path = stored(_extended(sized.where("low < high").where(F.col("n") <= hot), kind).unionByName(one), "starts")
+        out = out.unionByName(found)
+        paths.append(path)
+        large = sized.where("low < high").where(F.col("n") > hot)
+        if large.isEmpty():
+            drop_path(split.sparkSession, path2)
+            return out, paths
+
+
 _STARTS = "digest bigint, context bigint, starts array<struct<lo:int,hi:int>>"
 _RANGE = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
 
 def _expanded(kind: Passage):
-    """Contexts sorted by digest to the passages in them that are repeated, as ranges of starts from the first passage on."""
+    """Contexts sorted by piece to the passages in them that are repeated, as ranges of starts from the first passage on.
+
+    A piece holds all passages of an anchor, or those of its contexts that share what names the piece; shift passages of a context stand before its own.
+    """
 
     def work(rows: pa.Table) -> pa.RecordBatch:
-        digest, context = (rows.column(c).to_numpy() for c in ("digest", "context"))
         # A context comes once, but for texts whose row is repeated.
-        _, once = np.unique(np.stack([digest, context]), axis=1, return_index=True)
-        rows, digest, context = rows.take(pa.array(once)), digest[once], context[once]
-        copies, place, span = (rows.column(c).to_numpy().astype(np.int64) for c in ("copies", "place", "span"))
+        _, once = np.unique(np.stack([rows.column(c).to_numpy() for c in ("piece", "digest", "context")]), axis=1, return_index=True)
+        rows = rows.take(pa.array(once))
+        piece, digest, context = (rows.column(c).to_numpy() for c in ("piece", "digest", "context"))
+        copies, place, span, shift = (rows.column(c).to_numpy().astype(np.int64) for c in ("copies", "place", "span", "shift"))
         data = rows.column("bytes").to_pylist()
         at = place.tolist()
         width, gram = kind.width, kind.gram
-        hits = expand(digest, [b[: p * width] for b, p in zip(data, at, strict=True)], [b[(p + gram) * width :] for b, p in zip(data, at, strict=True)], span, copies, kind)
+        hits = expand(piece, [b[: p * width] for b, p in zip(data, at, strict=True)], [b[(p + gram) * width :] for b, p in zip(data, at, strict=True)], span, copies, kind)
         edge = np.diff(hits.astype(np.int8), axis=1, prepend=0, append=0)
         row, begin = np.nonzero(edge == 1)
         _, end = np.nonzero(edge == -1)
         keep = np.flatnonzero(np.bincount(row, minlength=len(digest)))
         offsets = np.append(0, np.cumsum(np.bincount(row, minlength=len(digest))[keep])).astype(np.int32)
-        lo, hi = place[row] - (end - 1), place[row] - begin
+        first = place[row] + shift[row]
+        lo, hi = first - (end - 1), first - begin
         ranges = pa.StructArray.from_arrays([pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["lo", "hi"])
         return pa.RecordBatch.from_arrays([pa.array(digest[keep]), pa.array(context[keep]), pa.ListArray.from_arrays(pa.array(offsets), ranges)], names=["digest", "context", "starts"])
 
@@ -354,8 +420,8 @@ def _expanded(kind: Passage):
             n += len(batch)
             if n >= HOT:
                 rows = pa.Table.from_batches(held)
-                digest = rows.column("digest").to_numpy()
-                edges = np.flatnonzero(digest[1:] != digest[:-1]) + 1
+                piece = rows.column("piece").to_numpy()
+                edges = np.flatnonzero(piece[1:] != piece[:-1]) + 1
                 if len(edges):
                     yield work(rows.slice(0, int(edges[-1])))
                     held = rows.slice(int(edges[-1])).combine_chunks().to_batches()
@@ -366,33 +432,6 @@ def _expanded(kind: Passage):
     return partition
 
 
-_PASSAGE = "digest bigint, context bigint, copies bigint, start int, w1 bigint, w2 bigint"
-
-
-def _passages(kind: Passage):
-    """Contexts of an anchor found very often to their passages, each with two digests."""
-
-    @serves("suffix dedup")
-    def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            digest, context, copies, span, data = (batch.column(c) for c in ("digest", "context", "copies", "span", "bytes"))
-            n = span.to_numpy().astype(np.int64) + 1
-            for k in range(0, len(batch), 512):
-                w = [[], []]
-                for b in data.slice(k, 512).to_pylist():
-                    raw = np.frombuffer(b, "<u8" if kind.words else np.uint8)
-                    for out, base in zip(w, (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D), strict=True):
-                        with np.errstate(over="ignore"):
-                            out.append(Rolling(raw, base).fixed(kind.least))
-                own = n[k : k + 512]
-                rows = pa.array(np.repeat(np.arange(k, k + len(own)), own))
-                start = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
-                columns = [digest.take(rows), context.take(rows), copies.take(rows), pa.array(start.astype(np.int32)), *(pa.array(np.concatenate(x).view(np.int64)) for x in w)]
-                yield pa.RecordBatch.from_arrays(columns, names=["digest", "context", "copies", "start", "w1", "w2"])
-
-    return partition
-
-
 _RUNS = pa.list_(pa.struct([("f", pa.int32()), ("t", pa.int32())]))
 
 
@@ -453,19 +492,13 @@ def spans_of(keyed: DataFrame, text_col: str, kind: Passage, hot: int = HOT) ->
     whole = contexts.where("n = 1").select("digest", "context", F.array(F.struct(F.lit(0).alias("lo"), (F.col("last") - F.col("first")).alias("hi"))).alias("starts"))
     wanted = contexts.where("n > 1").groupBy("k1", "k2").agg(F.collect_list(F.struct("digest", "context", "copies", "place", "first", "last", "n")).alias("wanted"))
     cut, path4 = stored(texts.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(_cut_contexts(kind), _CONTEXT), "cut")
-    cool = cut.where(F.col("n") <= hot).drop("n").repartition("digest").sortWithinPartitions("digest")
-    starts, path5 = stored(cool.mapInArrow(_expanded(kind), _STARTS), "starts")
-    starts = starts.unionByName(whole)
-    passages, path6 = stored(cut.where(F.col("n") > hot).mapInArrow(_passages(kind), _PASSAGE).dropDuplicates(["digest", "context", "start"]), "passages")
+    found, held = _starts_of(cut, kind, hot)
     drop_path(spark, path4)
-    twice = passages.groupBy("w1", "w2").agg(F.sum("copies").alias("n")).where("n > 1").select("w1", "w2")
-    own = passages.join(twice, ["w1", "w2"]).groupBy("digest", "context").agg(F.collect_list(F.struct(F.col("start").alias("lo"), F.col("start").alias("hi"))).alias("starts"))
-    counted, path7 = stored(own, "counted")
-    drop_path(spark, path6)
-    spans = repeated.join(starts.unionByName(counted), ["digest", "context"]).select("k1", "k2", "first", F.explode("starts").alias("s"))
+    starts = found.unionByName(whole)
+    spans = repeated.join(starts, ["digest", "context"]).select("k1", "k2", "first", F.explode("starts").alias("s"))
     spans = spans.select("k1", "k2", F.struct((F.col("first") + F.col("s.lo")).alias("f"), (F.col("first") + F.col("s.hi") + least).alias("t")).alias("span"))
     spans, _ = stored(spans.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans")), "spans")
-    for path in (path2, path3, path5, path7):
+    for path in (path2, path3, *held):
         drop_path(spark, path)
     return spans
 
