@@ -1,6 +1,7 @@
 """Hand-computed cases and the traps of the operators."""
 
 import json
+import lzma
 import math
 from datetime import datetime, timedelta
 
@@ -485,10 +486,30 @@ def test_stored_panels_and_archives(spark, tmp_path):
     day.mkdir(parents=True)
     (day / "prices.json").write_text('{"productId": 3, "marketPrice": 1.5}\n')
     assert vendor.load_archive(spark, str(tmp_path / "arch"), [5]).first().marketPrice == 1.5 and vendor.file_digests(spark, str(day)).count() == 1
+    with lzma.open(day / "more.json.xz", "wt") as f:
+        f.write('{"productId": 4, "marketPrice": 2.5}\n\n{"productId": 6}')
+    got = vendor.load_archive(spark, str(tmp_path / "arch"), [5], xz=True).collect()
+    assert sorted((r.productId, r.marketPrice, r.date.isoformat(), r.group) for r in got) == [(4, 2.5, "2024-01-01", 5), (6, None, "2024-01-01", 5)]
+    assert vendor.load_archive(spark, str(tmp_path / "arch"), [7], xz=True).count() == 0
     (tmp_path / "h.json").write_text('{"a": {"2024-01-01": 1.0, "2024-01-02": 2.0}}')
     assert vendor.load_price_history(spark, str(tmp_path / "h.json")).count() == 2
 
 
+def test_predictions_come_from_the_slice_that_holds_them(spark, tmp_path):
+    rows = make_rows(spark, [("A", 1, 1, 5, True, 5, 5)])
+    full, small = str(tmp_path / "full"), str(tmp_path / "small")
+    with pytest.raises(FileNotFoundError):
+        panels.load_predictions(spark, full, "univariate", "raw", small)
+    panels.write_predictions(rows.unionByName(rows.withColumn("transform", F.lit("log1p"))), full)
+    assert panels.load_predictions(spark, full, "univariate", "raw", small)[1] == full  # no slice yet
+    mode, transform = rows.select("mode", "transform").first()
+    panels.write_slice(rows, small, mode, transform)
+    got, path = panels.load_predictions(spark, full, mode, transform, small, (mode, transform))
+    assert path == small and got.count() == 1 and not {"mode", "transform", "baseline_drift", "baseline_ets"} & set(got.columns)
+    got, path = panels.load_predictions(spark, full, mode, "log1p", small, (mode, transform))
+    assert path == full and got.count() == 1
+
+
 def test_manifest(tmp_path):
     out = manifest.write_manifest(str(tmp_path / "m.json"), {"x": 1}, manifest.resolve_as_of("2024-01-31", False))
     assert json.loads((tmp_path / "m.json").read_text()) == out and out["_meta"]["as_of"] == "2024-01-31" and not out["_meta"]["live_end"]
@@ -552,6 +573,9 @@ def test_catalog_files(spark, tmp_path):
         day.mkdir(parents=True)
         (day / "x.json").write_text('{"productId": 1}')
     assert catalog.probe_archive(spark, str(tmp_path / "arch"), "2024-02-08") == {"earliest": True, "day_before": False}
+    assert [str(r.date) for r in catalog.archive_dates(spark, str(tmp_path / "arch")).sort("date").collect()] == ["2024-02-08", "2024-02-09"]
+    (tmp_path / "bare").mkdir()
+    assert catalog.archive_dates(spark, str(tmp_path / "bare")).count() == 0
     closes = spark.createDataFrame([("T", START, 1.0), ("T", START + timedelta(days=9), 2.0)], "ticker string, date timestamp_ntz, close double")
     closes.write.parquet(str(tmp_path / "c"))
     assert catalog.load_close(spark, str(tmp_path / "c"), "T", end="2024-01-05").count() == 1

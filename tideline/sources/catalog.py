@@ -31,14 +31,17 @@ def _fields(ddl: str) -> str:
 
 
 def archive_dates(spark: SparkSession, path: str) -> DataFrame:
-    """(date) of the days that an archive laid out as date=… holds. [SC13 SC20]"""
-    return spark.read.schema("productId BIGINT, date DATE").json(path).select("date").distinct()
+    """(date) of the days that an archive laid out as date=… holds; files are listed, not read. [SC13 SC20]"""
+    files = spark.read.format("binaryFile").load(path)
+    if "date" not in files.columns:  # no day at all
+        return spark.createDataFrame([], "date date")
+    return files.select(F.col("date").cast("date").alias("date")).distinct()
 
 
 def probe_archive(spark: SparkSession, path: str, earliest: str) -> dict[str, bool]:
     """Whether the archive holds its earliest day and, as it should not, the day before. [SC20]"""
     first = F.lit(earliest).cast("date")
-    found = archive_dates(spark, path).agg(F.count_if(F.col("date") == first).alias("a"), F.count_if(F.col("date") == F.date_sub(first, 1)).alias("b")).first()
+    found = archive_dates(spark, path).where(F.col("date").between(F.date_sub(first, 1), first)).agg(F.count_if(F.col("date") == first).alias("a"), F.count_if(F.col("date") == F.date_sub(first, 1)).alias("b")).first()
     return {"earliest": found.a > 0, "day_before": found.b > 0}
 
 

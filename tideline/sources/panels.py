@@ -60,6 +60,24 @@ def read_predictions(spark: SparkSession, path: str, mode: str | None = None, tr
     return rows
 
 
+def write_slice(rows: DataFrame, path: str, mode: str, transform: str) -> None:
+    """The rows of one mode and transform, without columns that they share or that a demonstration does not need. [SK2]"""
+    own = rows.where((F.col("mode") == mode) & (F.col("transform") == transform))
+    own.drop("mode", "transform", "baseline_drift", "baseline_ets").write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def load_predictions(spark: SparkSession, full: str, mode: str, transform: str, small: str | None = None, small_of: tuple[str, str] = ("univariate", "identity")) -> tuple[DataFrame, str]:
+    """Stored rows of a mode and transform, and the path that they came from: the slice if it holds just these, else the full table; refused if neither exists. [SC5]"""
+    paths = [p for p in (small if (mode, transform) == small_of else None, full) if p]
+    for path in paths:
+        try:
+            return read_predictions(spark, path, mode, transform), path
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    raise FileNotFoundError(f"none of {paths} exists")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import io
+import lzma
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.panel import dense
@@ -67,7 +73,9 @@ def resolve_entities(specs: DataFrame, groups: DataFrame, products: DataFrame, s
     found = specs.join(g, F.upper("group_abbreviation") == F.col("abbr"), "left")
     found = found.join(p, (found["group_id"] == p["group_id"]) & (F.lower("product_name") == F.col("p_name")), "left").select("label", "product_name", found["group_id"], "product_id")
     missing = found.where("product_id is null and group_id is not null").join(products.select("group_id", "name"), "group_id")
-    near = missing.select("label", F.struct(F.levenshtein(F.lower("product_name"), F.lower("name")).alias("d"), "name").alias("s")).groupBy("label").agg(F.slice(F.array_sort(F.collect_set("s")), 1, suggestions).alias("s"))
+    near = missing.select("label", F.levenshtein(F.lower("product_name"), F.lower("name")).alias("d"), "name").distinct()
+    near = near.withColumn("at", F.row_number().over(Window.partitionBy("label").orderBy("d", "name"))).where(F.col("at") <= suggestions)
+    near = near.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("d", "name"))).alias("s"))
     return found.join(near, "label", "left").select("label", "group_id", "product_id", F.transform(F.coalesce("s", F.array().cast("array<struct<d:int,name:string>>")), lambda x: x["name"]).alias("suggestions"))
 
 
@@ -86,11 +94,33 @@ def load_entities(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
-def load_archive(spark: SparkSession, path: str, groups: list[int] | None = None) -> DataFrame:
-    """Daily price rows of a JSON archive laid out as date=…/group=…; only the wanted groups' folders are read. [SC12 SC17]"""
-    schema = "productId BIGINT, subTypeName STRING, lowPrice DOUBLE, midPrice DOUBLE, highPrice DOUBLE, marketPrice DOUBLE, date DATE, group BIGINT"
-    rows = spark.read.schema(schema).json(path)
-    return rows.where(F.col("group").isin(groups)) if groups else rows
+_ROW = "productId BIGINT, subTypeName STRING, lowPrice DOUBLE, midPrice DOUBLE, highPrice DOUBLE, marketPrice DOUBLE"
+
+
+def _xz_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of compressed files, some thousands at a time; only the compressed bytes are held whole."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            with lzma.open(io.BytesIO(row["content"]), "rt", encoding="utf-8") as file:
+                lines = (x for x in file if x.strip())
+                while some := list(islice(lines, 4096)):
+                    columns = [pa.array(some, pa.string()), pa.array([row["date"]] * len(some), pa.date32()), pa.array([row["group"]] * len(some), pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["line", "date", "group"])
+
+
+def load_archive(spark: SparkSession, path: str, groups: list[int] | None = None, xz: bool = False) -> DataFrame:
+    """Daily price rows of a JSON archive laid out as date=…/group=…; only the wanted groups' folders are read. [SC12 SC17]
+
+    Plain and gzip files are read as they are; with ``xz`` the files that end so are, a file in a task.
+    """
+    if not xz:
+        rows = spark.read.schema(f"{_ROW}, date DATE, group BIGINT").json(path)
+        return rows.where(F.col("group").isin(groups)) if groups else rows
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xz").load(path)
+    files = files.where(F.col("group").isin(groups)) if groups else files
+    files = files.select("content", F.col("date").cast("date").alias("date"), F.col("group").cast("bigint").alias("group"))
+    lines = files.mapInArrow(_xz_lines, "line string, date date, group bigint")
+    return lines.select(F.from_json("line", _ROW).alias("r"), "date", "group").select("r.*", "date", "group")
 
 
 def load_price_history(spark: SparkSession, path: str, days: int | None = None) -> DataFrame:
